@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import embedding_dedup, exact_dedup, secret_scan, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
