@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, secret_scan, simhash_dedup
+from . import embedding_dedup, exact_dedup, html_extract, language_id, mixing, packing, secret_scan, simhash_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op2_packing": packing.op2_packing,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_html_extract": html_extract.op6_html_extract,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -20,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
         k AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN k USING (x)""",
+    "op9_mixing": mixing.SQL,
 }
