@@ -1,0 +1 @@
+"""PySpark-native analytics over melodic note sequences."""
