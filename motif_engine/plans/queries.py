@@ -188,9 +188,9 @@ def search_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _found(S.search_grams(G.grams(events.notes(spark, sf), 3), [2, -2, 3], 0.5, limit=20))
 
 
-@query(_with(f"{_G3}, m AS ({_matched(_SIMILAR)}) SELECT {_OUT} FROM m WHERE similarity >= 0.5 AND melid = 'ev-1'"))
+@query(_with(f"{_G3}, m AS ({_matched(_SIMILAR)}) SELECT {_OUT} FROM m WHERE similarity >= 0.5 AND melid = 'ev-15'"))
 def search_solo(spark: SparkSession, sf: str) -> DataFrame:
-    notes = events.notes(spark, sf).filter(F.col("melid") == "ev-1")
+    notes = events.notes(spark, sf).filter(F.col("melid") == "ev-15")
     return _found(S.search_grams(G.grams(notes, 3), _SIMILAR, 0.5))
 
 
@@ -409,9 +409,9 @@ def phrase_signature(spark: SparkSession, sf: str) -> DataFrame:
 # order of notes
 
 
-@query(_with("x AS (SELECT 1) SELECT melid, note_idx, pitch, round(onset_beat, 6) AS onset_beat FROM notes WHERE onset_beat >= 50 AND onset_beat < 120"))
+@query(_with("x AS (SELECT 1) SELECT melid, note_idx, coalesce(pitch, -1) AS pitch, round(onset_beat, 6) AS onset_beat FROM notes WHERE onset_beat >= 50 AND onset_beat < 120"))
 def slice_notes(spark: SparkSession, sf: str) -> DataFrame:
-    return SEQ.slice_notes(events.notes(spark, sf), 50.0, 120.0).select("melid", "note_idx", "pitch", _r("onset_beat").alias("onset_beat"))
+    return SEQ.slice_notes(events.notes(spark, sf), 50.0, 120.0).select("melid", "note_idx", F.coalesce("pitch", F.lit(-1)).alias("pitch"), _r("onset_beat").alias("onset_beat"))
 
 
 @query(_with("x AS (SELECT 1) SELECT melid, round(max(onset_beat + duration_beats), 6) AS total_beats FROM notes GROUP BY melid"))
@@ -536,7 +536,7 @@ def time_sig_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT c_custkey, 'db' AS database, 'm' || CAST(c_custkey AS VARCHAR) AS melid, CAST(c_custkey % 7 AS INT) AS frequency, c_name AS performer, 'A tune' AS title,
-    CASE WHEN c_custkey % 3 = 0 THEN 1950 + CAST(c_custkey % 50 AS INT) END AS year, 'tp' AS instrument, c_custkey % 100 / 4.0::DOUBLE AS start_position,
+    CASE WHEN c_custkey % 3 = 0 THEN 1950 + CAST(c_custkey % 50 AS INT) ELSE 0 END AS year, 'tp' AS instrument, c_custkey % 100 / 4.0::DOUBLE AS start_position,
     CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 1.5::DOUBLE END AS duration, 0.75::DOUBLE AS similarity, CAST(c_custkey % 4 AS INT) AS edit_distance FROM customer WHERE c_custkey % 11 <> 0"""
 )
 def result_html_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -548,7 +548,7 @@ def result_html_parse(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 5 == 0, F.lit("?")).otherwise("1.5"), F.lit("9"), F.lit("up"), F.when(k % 11 == 0, F.lit("bad")).otherwise("0.75"), (k % 4).cast("string"),
     ]
     row = F.concat(F.lit("<table><tr><th>x</th></tr><TR class='r'>"), *[F.concat(F.lit("<td a=1>"), x, F.lit("</td>")) for x in cells], F.lit("</TR></table>"))
-    return files.parse_result_pages(c.select("c_custkey", row.alias("html"))).drop("row_no")
+    return files.parse_result_pages(c.select("c_custkey", row.alias("html"))).drop("row_no").withColumn("year", F.coalesce("year", F.lit(0)))
 
 
 @query(

@@ -89,6 +89,7 @@ class _Reader(DataSourceReader):
 
 
 def read_table(spark: SparkSession, path: str, table: str, **options: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteDataSource)
     return spark.read.format("sqlite_table").options(path=path, table=table, **options).load()
 
