@@ -5,7 +5,8 @@ sample of at most POSITIVES confirmed toxic texts and UNLABELLED other texts on
 hash, those that toxic texts have more often by MIN_Z standard errors and MIN_LIFT times are kept, FEATURES at
 most. A linear classifier is fitted in numpy to the risk prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)])
 with logistic loss; where the bracket is below zero its gradient is reversed. The class prior is the share of
-toxic rows among the labelled training rows, counted over all of them. Scoring reads whole texts.
+toxic rows among the labelled training rows, counted over all of them, or less if fewer unlabelled texts have any of
+the features. Scoring reads whole texts.
 
 Edge cases: a null text counts as empty and scores as the classifier's bias; labels without a document, null
 labels and null doc_ids aren't learned from; without a toxic training text every score is 0; repeated rows each
@@ -162,7 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
     x = np.zeros((len(got), len(hashes)), np.float32)
     for i, r in enumerate(got):
         x[i, r.k] = 1
-    model.weights, model.bias = fit(x, np.array([r.toxic for r in got]), prior)
+    is_toxic = np.array([r.toxic for r in got])
+    some = x.any(axis=1)
+    # if toxic texts have a feature with probability p, unlabelled ones have one with prior * p at least
+    prior = min(prior, some[~is_toxic].mean() / max(some[is_toxic].mean(), 1e-9))
+    model.weights, model.bias = fit(x, is_toxic, max(prior, 1e-4))
     return model
 
 
