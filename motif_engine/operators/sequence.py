@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -64,19 +63,21 @@ def merge_close_notes(notes: DataFrame, max_gap: float = 0.1, max_pitch_diff: in
     return out.select("melid", "n.note_idx", "n.pitch", "n.onset_beat", "n.duration_beats", "n.velocity")
 
 
-def thinned(events: Iterable[tuple[float, float, float]]) -> list[int]:
-    """Indices of (start, end, strength) events to keep so that each that comes meets at most the first it overlaps:
-    of the two the stronger one stays, in that one's place."""
-    order = sorted(range(len(list(events))), key=lambda i: (events[i][0], -events[i][2]))
-    kept: list[int] = []
-    for i in order:
-        start, end, strength = events[i]
-        at = next((k for k, j in enumerate(kept) if start < events[j][1] and end > events[j][0]), None)
-        if at is None:
-            kept.append(i)
-        elif strength > events[kept[at]][2]:
-            kept[at] = i
-    return sorted(kept, key=lambda i: events[i][0])
+def thinned(start: np.ndarray, end: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Indices of the events to keep, by start. Events come by start, the stronger first; each is held against the
+    first kept one that it overlaps, and of these two the stronger one has that place (the kept one if equal)."""
+    kept = np.zeros(len(start), np.int64)
+    low, high, n = np.zeros(len(start)), np.zeros(len(start)), 0
+    for i in np.lexsort((-strength, start)).tolist():
+        over = np.flatnonzero((start[i] < high[:n]) & (end[i] > low[:n]))
+        k = int(over[0]) if len(over) else n
+        if k == n:
+            n += 1
+        elif strength[i] <= strength[kept[k]]:
+            continue
+        kept[k], low[k], high[k] = i, start[i], end[i]
+    kept = kept[:n]
+    return kept[np.argsort(start[kept], kind="stable")]
 
 
 def monophonic(notes: DataFrame) -> DataFrame:
@@ -84,8 +85,8 @@ def monophonic(notes: DataFrame) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("note_idx").reset_index(drop=True)
-        ends = pdf["onset_beat"] + pdf["duration_beats"]
-        return pdf.iloc[thinned(list(zip(pdf["onset_beat"], ends, pdf["velocity"].fillna(0), strict=True)))]
+        start = pdf["onset_beat"].to_numpy(float)
+        return pdf.iloc[thinned(start, start + pdf["duration_beats"].to_numpy(float), pdf["velocity"].fillna(0).to_numpy(float))]
 
     slim = notes.select("melid", "note_idx", "pitch", "onset_beat", "duration_beats", F.col("velocity").cast("double").alias("velocity"))
     return slim.groupBy("melid").applyInPandas(one, slim.schema)

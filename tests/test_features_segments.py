@@ -105,6 +105,22 @@ def test_monophonic(notes):
     assert [r.pitch for r in SEQ.monophonic(df).orderBy("onset_beat").collect()] == [62, 65]
 
 
+def test_thinning_agrees_with_a_plain_list():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = 30
+        start, strength = rng.integers(0, 20, n).astype(float), rng.integers(0, 5, n).astype(float)
+        end = start + rng.integers(1, 5, n)
+        kept = []
+        for i in sorted(range(n), key=lambda i: (start[i], -strength[i])):
+            at = next((k for k, j in enumerate(kept) if start[i] < end[j] and end[i] > start[j]), None)
+            if at is None:
+                kept.append(i)
+            elif strength[i] > strength[kept[at]]:
+                kept[at] = i
+        assert SEQ.thinned(start, end, strength).tolist() == sorted(kept, key=lambda i: start[i])
+
+
 def test_note_filters(spark, notes):
     df = notes(a=[(60, 0, 1), (80, 1, 0.01), (30, 2, 1)]).withColumn("velocity", F.when(F.col("pitch") == 60, 0.5).otherwise(90.0))
     got = SEQ.filter_notes(df, 0.05, min_hz=100.0).collect()
