@@ -70,5 +70,14 @@ def signatures(phrase_notes: DataFrame, n: int, name: str = "interval") -> DataF
     return first.select("melid.melid", "melid.phrase_id", "onset_beat", "values", "enc")
 
 
+def solo_or_signature_grams(notes: DataFrame, phrase_notes: DataFrame | None, n: int, name: str = "interval") -> DataFrame:
+    """Signatures for solos that have phrases, all grams for the others: melid, onset_beat, values, enc."""
+    columns = ["melid", "onset_beat", "values", "enc"]
+    if phrase_notes is None:
+        return grams(notes, n, name).select(*columns)
+    rest = notes.join(phrase_notes.select("melid").distinct(), "melid", "left_anti")
+    return signatures(phrase_notes, n, name).select(*columns).unionByName(grams(rest, n, name).select(*columns))
+
+
 def frequencies(g: DataFrame) -> DataFrame:
     return g.groupBy("values").agg(F.count(F.lit(1)).alias("n"))

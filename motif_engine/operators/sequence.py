@@ -127,3 +127,18 @@ def frequencies_to_notes(frames: DataFrame, min_length_ms: float = 50.0, rate: f
         "melid", F.col("note_idx").cast("long").alias("note_idx"), hz_to_midi(F.col("_f0")).alias("pitch"), "onset_beat",
         (F.coalesce("_end", "_last") - F.col("onset_beat")).alias("duration_beats"), F.lit(None).cast("int").alias("velocity"),
     )
+
+
+def from_detections(
+    events: DataFrame, bpm: float = 120.0, keep_polyphonic: bool = False, min_length_ms: float = 50.0, min_hz: float | None = None,
+    max_hz: float | None = None, min_velocity: float = 0.0,
+) -> DataFrame:
+    """Raw detections (onset_beat and duration_beats in seconds, raw velocity) to notes in beats: thinned to one voice,
+    filtered, scaled."""
+    n = events if keep_polyphonic else monophonic(events)
+    return seconds_to_beats(filter_notes(n, min_length_ms / 1000.0, min_hz, max_hz, min_velocity), bpm)
+
+
+def from_frequencies(frames: DataFrame, bpm: float = 120.0, min_length_ms: float = 50.0, max_gap: float = 0.2, max_pitch_diff: int = 1) -> DataFrame:
+    """Frequency frames to notes in beats, with wobbling notes merged; max_gap is in beats."""
+    return merge_close_notes(seconds_to_beats(frequencies_to_notes(frames, min_length_ms), bpm), max_gap, max_pitch_diff)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import struct
+import wave
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -166,6 +168,27 @@ def read_midi(spark: SparkSession, path: str) -> DataFrame:
     return _note_files(spark, path, parse_midi)
 
 
+def read_wav(spark: SparkSession, path: str) -> DataFrame:
+    """One row per PCM file of 16 bits: melid, rate, samples (mono, -1..1); files of another kind have null samples."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for melid, content in zip(pdf["melid"], pdf["content"], strict=True):
+                rate, samples = None, None
+                try:
+                    with wave.open(io.BytesIO(content)) as w:
+                        rate = w.getframerate()
+                        if w.getsampwidth() == 2:
+                            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
+                            samples = (x.mean(axis=1) / 32768.0).astype(np.float32)
+                except (wave.Error, EOFError):
+                    pass
+                yield pd.DataFrame({"melid": [melid], "rate": pd.array([rate], "Int32"), "samples": [samples]})
+
+    files = spark.read.format("binaryFile").load(path).select(_stem(F.col("path")).alias("melid"), "content")
+    return files.mapInPandas(rows, "melid string, rate int, samples array<float>")
+
+
 def read_transcription(spark: SparkSession, path: str) -> DataFrame:
     """Notes of a file by its suffix: .json, .mid or .midi, .xml or .musicxml."""
     suffix = path.rpartition(".")[2].lower()

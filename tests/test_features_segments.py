@@ -146,3 +146,21 @@ def test_slices_and_beats(notes):
     df = notes(a=SAMPLE)
     assert SEQ.slice_notes(df, 2, 4).count() == 2 and SEQ.total_beats(df).first().total_beats == 10
     assert SEQ.seconds_to_beats(df, 120.0).agg(F.max("onset_beat")).first()[0] == pytest.approx(16)
+
+
+def test_whole_ways_from_detections(spark, notes):
+    raw = notes(a=[(60, 0, 0.5), (62, 0.25, 0.5), (64, 2, 0.01), (65, 3, 0.5)]).withColumn("velocity", F.col("pitch") / 100)
+    got = SEQ.from_detections(raw, bpm=120.0).orderBy("onset_beat").collect()
+    assert [(r.pitch, r.onset_beat, r.duration_beats, r.velocity) for r in got] == [(62, 0.5, 1.0, 79), (65, 6.0, 1.0, 83)]
+    rows = [("a", i, i * 0.05, i != 4, f) for i, f in enumerate([440.0] * 4 + [0.0] + [445.0] * 4)]
+    frames = spark.createDataFrame(rows, "melid string, frame int, time double, voiced boolean, f0 double")
+    assert [r.pitch for r in SEQ.from_frequencies(frames).collect()] == [69]
+
+
+def test_solos_without_phrases_give_all_grams(notes):
+    from motif_engine.operators import grams as G
+
+    df = notes(a=SAMPLE, b=SAMPLE)
+    only_a = SEG.phrase_notes(df).filter("melid = 'a'")
+    got = [r.melid for r in G.solo_or_signature_grams(df, only_a, 3).collect()]
+    assert got.count("a") == 1 and got.count("b") == 6 and G.solo_or_signature_grams(df, None, 3).count() == 12

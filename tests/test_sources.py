@@ -102,3 +102,27 @@ def test_live_phrases(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n_notes for r in spark.sql("SELECT * FROM live").collect()) == [3, 4]
+
+
+def test_wav(spark, tmp_path):
+    import wave
+
+    with wave.open(f"{tmp_path}/a.wav", "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000)
+        w.writeframes((16384).to_bytes(2, "little") * 4)
+    (tmp_path / "b.wav").write_bytes(b"no")
+    got = {r.melid: r for r in files.read_wav(spark, f"{tmp_path}/*.wav").collect()}
+    assert got["a"].rate == 8000 and got["a"].samples == [0.5, 0.5] and got["b"].samples is None
+
+
+def test_command_line(spark, database, tmp_path):
+    from motif_engine.__main__ import main
+
+    lines = []
+    assert main(["search", "0 2", "--corpus", f"solos:{database}", "--min-similarity", "0.5"], lines.append, spark) == 0
+    assert {json.loads(x)["melid"] for x in lines} == {"wjazzd-1", "wjazzd-2"}
+    for args in (["features", "--corpus", f"solos:{database}"], ["phrases", "--corpus", f"solos:{database}"], ["status", f"db={database}"], ["health"]):
+        lines.clear()
+        assert main(args, lines.append, spark) == 0 and all(json.loads(x) for x in lines)
+    with pytest.raises(CorpusError):
+        main(["features", "--corpus", "x:y"], lines.append, spark)
