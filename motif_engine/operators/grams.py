@@ -15,7 +15,7 @@ OFFSET = 128
 def pitched(notes: DataFrame) -> DataFrame:
     """Notes without rests, with pos: 0, 1, .. by onset (ties by note_idx) within the solo."""
     w = W.partitionBy("melid").orderBy("onset_beat", "note_idx")
-    return notes.filter(F.col("pitch").isNotNull()).withColumn("pos", F.row_number().over(w) - 1)
+    return notes.filter(F.col("pitch").isNotNull()).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
 
 
 def transformed(notes: DataFrame, name: str, root: Column | None = None, quality: Column | None = None) -> DataFrame:
@@ -60,7 +60,8 @@ def gram_arrays(values: Column, n: int) -> Column:
 def solo_grams(solos: DataFrame, n: int, name: str = "interval") -> DataFrame:
     """The same grams from solos with an array of notes: melid, pos, values."""
     pitches = F.transform(F.filter("notes", lambda x: x["pitch"].isNotNull()), lambda x: x["pitch"])
-    return solos.select("melid", F.posexplode(gram_arrays(T.transform(pitches, name), n)).alias("pos", "values"))
+    out = solos.select("melid", F.posexplode(gram_arrays(T.transform(pitches, name), n)).alias("pos", "values"))
+    return out.withColumn("pos", F.col("pos").cast("long"))
 
 
 def signatures(phrase_notes: DataFrame, n: int, name: str = "interval") -> DataFrame:

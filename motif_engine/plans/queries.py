@@ -26,7 +26,7 @@ _NOTES = """notes AS (SELECT 'ev-' || CAST(user_id AS VARCHAR) AS melid, event_i
   (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0::DOUBLE AS onset_beat, 0.25 + value / 5.0 AS duration_beats FROM events),
 pitched AS (SELECT *, row_number() OVER w - 1 AS pos, lead(pitch) OVER w - pitch AS step FROM notes WHERE pitch IS NOT NULL
   WINDOW w AS (PARTITION BY melid ORDER BY onset_beat, note_idx)),
-meta AS (SELECT 'ev-' || CAST(c_custkey AS VARCHAR) AS melid, c_name AS performer, n_name AS style, 1950 + c_custkey % 50 AS year, c_custkey
+meta AS (SELECT 'ev-' || CAST(c_custkey AS VARCHAR) AS melid, c_name AS performer, n_name AS style, CAST(1950 + c_custkey % 50 AS INT) AS year, c_custkey
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"""
 _SIZE_CLASS = "CAST(sign(step) * CASE WHEN abs(step) <= 1 THEN 1 WHEN abs(step) = 2 THEN 2 WHEN abs(step) <= 4 THEN 3 ELSE abs(step) END AS INT)"
 _MAJOR = "[0, 2, 4, 5, 7, 9, 11]"
@@ -126,7 +126,7 @@ def ngram_frequency(spark: SparkSession, sf: str) -> DataFrame:
 def ngram_solo_arrays(spark: SparkSession, sf: str) -> DataFrame:
     from motif_engine.schema import to_solos
 
-    return G.solo_grams(to_solos(events.notes(spark, sf)), 3).select("melid", F.col("pos").cast("long").alias("pos"), _joined("values").alias("gram"))
+    return G.solo_grams(to_solos(events.notes(spark, sf)), 3).select("melid", "pos", _joined("values").alias("gram"))
 
 
 _SIMILAR = [2, 2, 1]
