@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import new_path, parts, ship
+from .common import new_path, parts, ship, table
 from .token_ids import encoder, vocabulary_path
 
 BLOCK = 128
 CHUNK = 1 << 18
 PERCENTILE = 90
+#: With more shards (two numbers each), their places are joined by shuffle.
+BROADCAST_SHARDS = 1_000_000
 _HEAD = struct.Struct("<4sIQIQ")
 _MAGIC = b"PFR1"
 
@@ -191,7 +193,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row a written file
     before = F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = chunks.join(shards.select("shard", before.alias("before")), "shard")
+    shards = table(shards.select("shard", before.alias("before")), "shards")
+    if shards.count() <= BROADCAST_SHARDS:
+        shards = F.broadcast(shards)
+    placed = chunks.join(shards, "shard")
     return placed.select("payload", "before").mapInPandas(read, "doc_id long, start long, ids binary")
 
 
