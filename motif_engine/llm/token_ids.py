@@ -15,13 +15,15 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks that a worker remembers (about 250 MB); beyond it, it starts anew.
-REMEMBERED = 1 << 20
+#: Chunks that a worker remembers (about 350 MB); beyond it, it starts anew.
+REMEMBERED = 3 << 19
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # without the one capital whose small form isn't a single letter
 #: Letters and the space before them; a line feed between words; what else stands without white space within.
 _SPACED = re.compile(rf" ?[{_LETTERS}]++(?!\w)|\n(?=\S)|\s*+\S+|\s+")
 _UNSPACED = re.compile(rf"[{_LETTERS}]++(?!\w)|\S+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: A full stop or comma beside other marks makes one piece with them.
+_MARKS = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
 
 
@@ -53,7 +55,7 @@ class Encoder:
         # byte-level ids keep white space, the others drop it
         self.spaced = self._ids("a b") != self._ids("a") + self._ids("b")
         self.chunks = (_SPACED if self.spaced else _UNSPACED).findall
-        self.normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.lower = self._ids("AÉ") == self._ids("aé")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -64,13 +66,24 @@ class Encoder:
         words = list(filter(_WORD.fullmatch, chunks))
         code, tokenize, known = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model.tokenize, self.known
         # a letter run, with a space before it or not, is one piece for the model
-        pieces = _byte_letters("\n".join(map(self.normalise, words))).split(_LINE) if words else []
+        joined = "\n".join(words)
+        pieces = _byte_letters(joined.lower() if self.lower else joined).split(_LINE) if words else []
         for c, piece in zip(words, pieces, strict=True):
             known[c] = array(code, [t.id for t in tokenize(piece)]).tobytes()
         others = set(chunks).difference(words)
         for c, x in zip(others, self.tokenizer.encode_batch(list(others), add_special_tokens=False), strict=True):
             known[c] = array(code, x.ids).tobytes()
 
+    def _chunks(self, text: str) -> list[str]:
+        """Consecutive chunks; where single marks stand between words, plain replacement cuts like the pattern."""
+        if not self.spaced:
+            if "Σ" in text or "İ" in text:  # their small forms depend on what follows, or aren't one letter
+                return self.chunks(text)
+            text = text.lower() if self.lower else text
+            if not _MARKS.search(text):
+                return text.replace(".", " . ").replace(",", " , ").split()
+        return self.chunks(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
@@ -79,11 +92,12 @@ class Encoder:
             elif _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
                 out.append(np.array(self._ids(text), self.dtype).tobytes())
             else:
-                chunks = self.chunks(text)
-                new = set(chunks).difference(self.known)
-                if new:
-                    self._learn(list(new))
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
+                chunks = self._chunks(text)
+                ids = list(map(self.known.get, chunks))
+                if None in ids:
+                    self._learn(list({c for c, x in zip(chunks, ids, strict=True) if x is None}))
+                    ids = [x if x is not None else self.known[c] for c, x in zip(chunks, ids, strict=True)]
+                out.append(b"".join(ids))
         return out
 
 
