@@ -106,16 +106,20 @@ class Model:
 
 
 def fit(x: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias at the least non-negative risk; full-batch Adam from fixed starts."""
-    xp, xu = x[toxic], x[~toxic]
-    w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    """Weights and bias at the least non-negative risk; full-batch Adam from fixed starts over the features present."""
+    n, k = x.shape
+    row, col = np.nonzero(x)
+    w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
+    share = np.where(toxic, 1 / max(1, toxic.sum()), 1 / max(1, (~toxic).sum()))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for t in range(1, _ROUNDS + 1):
-        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
-        risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gn, gu = prior * -sigmoid(-zp) / len(zp), prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-        gp, gn, gu = (np.append(a.T @ g, g.sum()) for a, g in ((xp, gp), (xp, gn), (xu, gu)))
-        g = gp + (gu - gn) if risk >= 0 else gn - gu
+        z = np.bincount(row, w[col], n) + w[-1]
+        as_clean = np.logaddexp(0, z) * share
+        positive = as_clean[~toxic].sum() - prior * as_clean[toxic].sum() >= 0
+        # of the loss as clean: the unlabelled texts' less prior times the toxic ones'; of that as toxic: prior times these
+        of_clean = sigmoid(z) * share * np.where(toxic, -prior, 1.0)
+        g = of_clean + np.where(toxic, -prior * sigmoid(-z) * share, 0.0) if positive else -of_clean
+        g = np.append(np.bincount(col, g[row], k), g.sum())
         g[:-1] += _DECAY * w[:-1] * prior
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - _RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -160,9 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
 
     got = sample.mapInPandas(present, sample.select("id", "toxic").schema.add("k", ArrayType(LongType()))).select("id", "toxic", "k").collect()
     got.sort(key=lambda r: (str(r.id), r.toxic))
-    x = np.zeros((len(got), len(hashes)), np.float32)
+    x = np.zeros((len(got), len(hashes)), bool)
     for i, r in enumerate(got):
-        x[i, r.k] = 1
+        x[i, r.k] = True
     is_toxic = np.array([r.toxic for r in got])
     some = x.any(axis=1)
     # if toxic texts have a feature with probability p, unlabelled ones have one with prior * p at least
