@@ -44,7 +44,7 @@ def gram_counts(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for index, codes, of in letters.groups(texts):
         letter = letters.is_letter()[codes]
-        keep = letter | np.append(True, letter[:-1])  # of other characters the first of a run
+        keep = letter | np.append(False, letter[:-1])  # of other characters the one after a letter
         c, of = np.where(letter, codes, 32)[keep].astype(np.uint64), of[keep]
         flat = np.zeros(len(index) * DIMENSIONS, np.int64)
         for n in GRAMS:
@@ -129,11 +129,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str =
     """Fits on docs; every row of docs with a lang counts towards document frequencies."""
     ship(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     df, n = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    share = F.lit(float(sample)) / F.col("n")
-    chosen = rows.join(counts, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * float(1 << 30)).select("lang", "text")
+    if not counts:
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), idf)
+    # only the sample's texts are shuffled
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for k, m in sorted(counts.items()) for x in (k, int(min(1.0, sample / m) * (1 << 30)))]), F.col("lang"))
+    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limit).select("lang", "text")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf["text"].tolist()
