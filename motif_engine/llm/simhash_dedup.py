@@ -1,4 +1,7 @@
-"""SimHash near-dedup: exact search for close fingerprints in a forest of vantage-point trees.
+"""Near-dedup: links of close SimHash fingerprints (op3), and links of texts with similar shingle sets (the pipeline's stage).
+
+The first, components(), is an exact search in a forest of vantage-point trees; the second, deduplicate(), is a prefix
+filter with exact confirmation, and uses neither fingerprints nor trees.
 
 Fingerprints: a bit is set if it is set in over half the XXH64 values (seed 42) of a text's word shingles,
 repeats included. Words are runs without ASCII white space; A-Z are lower-cased.
@@ -28,6 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import OWN, connected_components, parts, ship, table, union
 
@@ -254,32 +258,23 @@ def components(docs: DataFrame, text: str = "text", ident: str = "doc_id", dista
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: deduplicate() compares wide fingerprints of so many words of 64 bits.
-WORDS = 4
-_MIXES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Wide fingerprints of texts that share 0.8 of their shingles differ in 39 of 256 bits on average, with a standard
-#: deviation of 6; texts without common passages in 128.
-WIDE_DISTANCE = 46
-#: A pair at similarity 0.8 keeps a sampled bit equal with this probability.
-_SAME_BIT = 0.8486
+#: Near copies share this part of their distinct shingles, as a fraction of integers.
+SIMILAR = (4, 5)
+#: Texts whose shingles are counted for the order of prefixes, and shingles that are kept from them. The order decides
+#: the number of pairs to compare, never which ones are found.
+COUNTED = 5_000
+FREQUENT = 200_000
 #: More rows to drop than this are joined by shuffle instead of broadcast.
 BROADCAST_DROPS = 1_000_000
-
-
-def wide_fingerprint(text: bytes | None, shingle: int = 5) -> list[int]:
-    """WORDS words of a SimHash whose bits come from differently mixed XXH64 values."""
-    ones, n = np.zeros(64 * WORDS, np.int64), 0
-    for h in _hashes(text, shingle):
-        mixed = np.concatenate([((h ^ (h >> np.uint64(31))) * np.uint64(m))[:, None] for m in _MIXES], axis=1)
-        mixed = (mixed ^ (mixed >> np.uint64(32))).astype(">u8")
-        ones += np.unpackbits(mixed.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
-        n += len(h)
-    return np.frombuffer(np.packbits(ones * 2 > n).tobytes(), ">i8").tolist()
+#: Words of parities and of wide fingerprints, and the probability that a pair at similarity 0.8 keeps a sampled bit
+#: of the latter equal.
+WORDS = 4
+_SAME_BIT = 0.8486
 
 
 def samples(n: int) -> list[list[int]]:
-    """Masks of each tree's sampled bits for n fingerprints: shards of about SHARD / 4 where bits are even, and so many
-    trees that a pair at similarity 0.8 shares one of its shards with probability 0.95."""
+    """Masks of sampled bits of n wide fingerprints, for shards in which a pair at similarity 0.8 meets with probability
+    0.95. deduplicate() doesn't use them, as it may not lose pairs."""
     bits = max(13, int(np.ceil(np.log2(max(1, n) / (SHARD / 4)))))
     out = []
     for t in range(int(np.ceil(3 / _SAME_BIT**bits))):
@@ -288,53 +283,151 @@ def samples(n: int) -> list[list[int]]:
     return out
 
 
-def wide_links(classes: DataFrame, distance: int = WIDE_DISTANCE, shard: int = SHARD) -> DataFrame:
-    """classes (id, w0 ..) to (a, b): links between ids that connect what a shard's links connect."""
-    words = [f"w{i}" for i in range(WORDS)]
-    masks = samples(classes.count())
-    each = ", ".join(f"xxhash64({t}, {', '.join(f'{w} & {m}L' for w, m in zip(words, mask, strict=True))})" for t, mask in enumerate(masks))
-    stored = classes.select("id", *words, F.explode(F.expr(f"array({each})")).alias("shard"))
-    sizes = stored.select("shard").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    huge = table(sizes.filter(F.col("n") > shard).withColumn("pieces", F.expr(f"cast(ceil(2 * n / {shard}) as int)")).drop("n"), "huge")
+def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles, sorted."""
+    each = list(_hashes(text, shingle))
+    return np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of SIMILAR or more."""
+    part, whole = SIMILAR
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return whole * n >= part * (len(a) + len(b) - n)
+
+
+def prefix(values: np.ndarray, frequent: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The rarest values of a set, so many that two similar sets share one of them."""
+    part, whole = SIMILAR
+    seen = np.zeros(len(values), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+        seen = np.where(frequent[at] == values, count[at], 0)
+    n = len(values)
+    return values[np.lexsort((values, seen))][: n + 1 + -part * n // whole]
+
+
+def parities(values: np.ndarray) -> list[int]:
+    """WORDS words: whether the number of values is odd in each of so many bits' classes. Two sets' parities differ in
+    no more bits than the sets differ in values."""
+    odd = np.bincount((values & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        rows = rows.select("shard", "id", *words).repartition(2 * parts(rows.sparkSession), "shard").sortWithinPartitions("shard", "id")
-        return rows.mapInPandas(_search(distance, words=WORDS), "a long, b long")
+def _frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of about COUNTED texts, sorted, and their counts."""
+    every = -(-docs.count() // COUNTED)
+    texts = docs.select(F.col(f"`{text}`").cast("binary").alias("t"))
 
-    if huge.isEmpty():
-        return dealt(stored)
-    tiled = stored.join(huge, "shard").withColumn("mine", F.expr("cast(pmod(xxhash64(id), pieces) as int)"))
-    tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
-    tiled = tiled.withColumn("shard", F.xxhash64("shard", F.least("mine", "other"), F.greatest("mine", "other")))
-    return dealt(stored.join(huge, "shard", "left_anti")).unionByName(dealt(tiled))
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf["t"]:
+                yield pd.DataFrame({"s": shingles(t, shingle).view(np.int64)})
+
+    texts = texts.filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0) if every > 1 else texts
+    found = texts.mapInPandas(values, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    rows = found.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
+    frequent, count = np.array([r.s for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(frequent)
+    return frequent[order], count[order]
+
+
+def _possible(a: str, b: str) -> str:
+    """SQL: whether two sets of n values can be similar if the first value they share is at these places."""
+    part, whole = SIMILAR
+    return f"{part + whole} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {part} * ({a}.n + {b}.n)"
+
+
+def _close(a: str, b: str) -> str:
+    """SQL: whether the parities of two sets leave it open that these are similar."""
+    part, whole = SIMILAR
+    bits = " + ".join(f"bit_count({a}.p{i} ^ {b}.p{i})" for i in range(WORDS))
+    return f"{whole + part} * ({bits}) <= {whole - part} * ({a}.n + {b}.n)"
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose texts (id, t) are similar."""
 
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, mine = None, None
+        for pdf in batches:
+            keep = []
+            for a, s, t in zip(pdf["a"], pdf["s"], pdf["t"], strict=True):
+                if a != last:
+                    last, mine = a, shingles(s, shingle)
+                keep.append(similar(mine, shingles(t, shingle)))
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    both = pairs.join(texts.withColumnRenamed("id", "b"), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("s")), "a")
+    return both.sortWithinPartitions("a").select("a", "b", "s", "t").mapInPandas(confirm, "a long, b long")
+
+
+def similar_links(sets: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """sets (id, n, tokens: their prefixes, p0 ..: their parities) and texts (id, t) to (a, b): similar pairs that connect all that similar pairs connect.
 
-def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", distance: int = WIDE_DISTANCE, shingle: int = 5) -> DataFrame:
+    All sets that share a prefix value are a list. Each list's members are compared with its first one; then, in lists
+    that this leaves in several components, each pair across components that hasn't been compared is, unless places
+    or parities rule it out.
+    """
+    by = W.partitionBy("token").orderBy("id")
+    each = sets.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+    lists = each.withColumn("m", F.first(F.struct("id", "n", "pos")).over(by)).withColumn("next", F.lead("id").over(by))
+    lists = table(lists.filter("m.id <> id or next is not null").drop("next"), "lists")
+    x = lists.filter("m.id <> id").select("m", F.struct("id", "n", "pos").alias("x"))
+    firsts = table(x.filter(_possible("m", "x")).select(F.col("m.id").alias("a"), F.col("x.id").alias("b")).distinct(), "pairs")
+    found = table(_confirmed(firsts, texts, shingle), "similar")
+    classes = table(connected_components(found), "components")
+    whole = W.partitionBy("token")
+    rest = lists.select("token", "id", "n", "pos").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = rest.withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole))
+    rest = rest.filter("low <> high").drop("low", "high").join(sets.select("id", *[f"p{i}" for i in range(WORDS)]), "id")
+    rest = table(rest, "rest")
+    x, y = rest.alias("x"), rest.alias("y")
+    pairs = x.join(y, F.expr(f"x.token = y.token and x.id < y.id and x.component <> y.component and {_possible('x', 'y')} and {_close('x', 'y')}"))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(firsts, ["a", "b"], "left_anti")
+    return found.unionByName(_confirmed(table(pairs, "pairs"), texts, shingle))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5) -> DataFrame:
     """docs with one row of each group of near copies, the one of the smallest identifier; columns as they were.
 
-    For texts that share 0.8 of their five-word shingles or more, 64 bits are too few to tell them from less similar
-    ones, so that this compares 256 bits, in trees whose vantage points resolve each sampled bit (radius 0).
+    Near copies are texts whose sets of shingles have a Jaccard similarity of SIMILAR or more, and what such pairs
+    connect. Fingerprints can't tell these exactly, so that this uses none: a prefix filter over the sets nominates
+    pairs, without loss, and each is confirmed on the sets themselves.
     """
     ship(docs.sparkSession)
-    row, words = f"{OWN}row", [f"w{i}" for i in range(WORDS)]
+    row = f"{OWN}row"
+    frequent, count = _frequent(docs, text, shingle)
+
+    words = [f"p{i}" for i in range(WORDS)]
 
-    @F.pandas_udf(", ".join(f"{w} long" for w in words))
-    def wide(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_fingerprint(t, shingle) for t in texts], columns=words, dtype="int64")
+    @F.pandas_udf(f"n int, same binary, tokens array<long>, {' long, '.join(words)} long")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, shingle) for t in texts]
+        return pd.DataFrame({
+            "n": pd.Series([len(s) for s in sets], dtype="int32"), "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+            "tokens": [prefix(s, frequent, count).view(np.int64) for s in sets],
+            **dict(zip(words, np.array([parities(s) for s in sets], np.int64).reshape(-1, WORDS).T, strict=True)),
+        })
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
-    packed = packed.select(row, F.col(row).getField(ident).alias("doc_id"), wide(F.col(row).getField(text).cast("binary")).alias("w"))
-    rows = table(packed.select(row, "doc_id", "w.*", F.monotonically_increasing_id().alias("rid")), "fingerprints")
+    packed = packed.select(row, F.col(row).getField(ident).alias("doc_id"), described(F.col(row).getField(text).cast("binary")).alias("w"))
+    rows = table(packed.select(row, "doc_id", "w.*", F.monotonically_increasing_id().alias("rid")), "shingles")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    first = rows.groupBy(*words).agg(F.min(key).alias("first"))
-    first = table(first.select(F.col("first.rid").alias("id"), "first", *words), "classes")
-    classes = connected_components(wide_links(first.select("id", *words), distance))
+    first = table(rows.groupBy("same").agg(F.min(key).alias("first")).select(F.col("first.rid").alias("id"), "first"), "classes")
+    sets = _without(rows, rows.select("rid").join(first.select(F.col("id").alias("rid")), "rid", "left_anti"))
+    texts = rows.select(F.col("rid").alias("id"), F.col(row).getField(text).cast("binary").alias("t"))
+    classes = connected_components(similar_links(sets.select(F.col("rid").alias("id"), "n", "tokens", *words), texts, shingle))
     named = first.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
-    dropped = table(rows.select("rid").join(stay, "rid", "left_anti"), "dropped")
+    return _without(rows, rows.select("rid").join(stay, "rid", "left_anti")).select(f"{row}.*")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    dropped = table(dropped, "dropped")
     if dropped.count() <= BROADCAST_DROPS:
         dropped = F.broadcast(dropped)
-    return rows.join(dropped, "rid", "left_anti").select(f"{row}.*")
+    return rows.join(dropped, "rid", "left_anti")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

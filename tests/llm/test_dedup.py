@@ -163,6 +163,18 @@ def test_near_copies_and_clean_texts(spark, monkeypatch, shard):
     assert {group[i] for i in kept} == set(range(120)) and len(kept) <= 124
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=40), st.data())
+def test_similar_sets_share_a_prefix_value_and_parities_bound_their_difference(a, data):
+    b = (a - set(data.draw(st.lists(st.sampled_from(sorted(a)), max_size=4)))) | data.draw(st.sets(st.integers(0, 2**64 - 1), max_size=4))
+    x, y = (np.array(sorted(v), np.uint64) for v in (a, b))
+    frequent = np.array(sorted(a)[::3], np.uint64)
+    if S.similar(x, y):
+        assert set(S.prefix(x, frequent, np.arange(len(frequent))).tolist()) & set(S.prefix(y, frequent, np.arange(len(frequent))).tolist())
+    assert S.similar(x, y) == (5 * len(a & b) >= 4 * len(a | b))
+    assert sum((p ^ q) % 2**64 >> k & 1 for p, q in zip(S.parities(x), S.parities(y), strict=True) for k in range(64)) <= len(a ^ b)
+
+
 def test_more_fingerprints_get_longer_samples_and_more_trees():
     assert len(S.samples(10**6)) == 26 and len(S.samples(5 * 10**10)) > 150
 
