@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import hypothesis.strategies as st
 import numpy as np
@@ -163,6 +163,37 @@ def test_near_copies_and_clean_texts(spark, monkeypatch, shard):
     assert {group[i] for i in kept} == set(range(120)) and len(kept) <= 124
 
 
+def shared(rng, similarity, n=120):
+    """Two texts with this Jaccard similarity of five-word shingles, or the next one that changes at the end allow."""
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    cut = round((n - 4) * (1 - similarity) / (1 + similarity))
+    return " ".join(words), " ".join(words[: n - cut] + [f"z{rng.randrange(10**6)}" for _ in range(cut)])
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    """Every pair at 0.8 or more is found, also just there; none below is, down to 0.6; with a hub of similar texts."""
+    rng, texts, bands = random.Random(9), [], Counter()
+    for k in range(400):
+        a, b = shared(rng, 0.6 + 0.3 * k / 400)
+        texts += [a, b]
+        bands[int(jaccard(a, b) * 20)] += 1
+    assert all(bands[k] > 30 for k in range(12, 18))
+    hub = [f"h{rng.randrange(10**6)}" for _ in range(150)]
+    for _ in range(60):
+        at = rng.randrange(150 - 20)
+        texts.append(" ".join(hub[:at] + [f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 20))] + hub[at + 20 :]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in S.deduplicate(df).collect())
+    assert kept == sorted(set(components(len(texts), pairs)))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=40), st.data())
 def test_similar_sets_share_a_prefix_value_and_parities_bound_their_difference(a, data):
