@@ -8,8 +8,10 @@ together; a queue that ends early leaves its share to the others. A window holds
 state after any window follows from its number alone (the highest-averages allocation of that many ids), so
 each task places its own documents without knowing other tasks' windows, and no text or id is shuffled.
 
-Only the number of ids for each queue (at most QUEUES) comes to the driver; the place of a task's documents in
-their queues is joined by task and queue. With over QUEUES sources, these are dealt to QUEUES queues by hash.
+Only the number of ids for each queue comes to the driver; the place of a task's documents in their queues is
+joined by task and queue. With over QUEUES sources, named ones and the largest others keep queues of their own, and
+only the small rest is dealt by hash to SHARED queues, whose targets are the sums of their sources' targets; within
+one of these, sources follow one another in row order. There are QUEUES queues at most, or more if more are named.
 
 Edge cases: a null text counts as empty and has the end id only; a null source is a queue of its own; repeated
 rows are packed each; a document longer than a sequence is cut; only the last sequence can be short; an empty
@@ -32,6 +34,7 @@ from .token_ids import encoder, vocabulary_path
 
 LENGTH = 2048
 QUEUES = 256
+SHARED = 64
 _TEXTS_AT_ONCE = 256
 
 
@@ -127,6 +130,22 @@ def _nullable(function):
     return wrapped
 
 
+def _shared(docs: DataFrame, name: F.Column, text: str, weights: dict[str, float]) -> tuple[F.Column, dict[str, int]]:
+    """The queues of more than QUEUES sources, and the number of sources in each shared one."""
+    sources = docs.select(name.alias("q"), (F.coalesce(F.length(F.col(text).cast("string")), F.lit(0)) + 1).alias("n"))
+    sources = table(sources.groupBy("q").agg(F.sum("n").alias("n")), "sources")
+    named = [r.q for r in sources.filter(F.regexp_replace("q", "^=", "").isin(list(weights))).select("q").collect()]
+    shared = max(1, min(SHARED, QUEUES // 4))
+    large = sources.filter(~F.col("q").isin(named)).orderBy(F.desc("n"), "q").limit(max(0, QUEUES - shared - len(named)))
+    own = named + [r.q for r in large.collect()]
+
+    def queue(q: F.Column) -> F.Column:
+        return F.when(q.isin(own), q).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(q), F.lit(shared)).cast("string")))
+
+    rest = sources.filter(~F.col("q").isin(own)).groupBy(queue(F.col("q")).alias("queue")).agg(F.count(F.lit(1)).alias("n"))
+    return queue(name), {r.queue: r.n for r in rest.collect()}
+
+
 def pack(
     docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH, weights: dict[str, float] | None = None,
     text: str = "text", ident: str = "doc_id", source: str = "source",
@@ -135,18 +154,24 @@ def pack(
 
     weights: target share of a source's ids in every window; a source that isn't named has the least of them.
     """
+    weights = weights or None
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     many = docs.select(name.alias("q")).distinct().limit(QUEUES + 1).count() > QUEUES
-    tokens = tokenized(docs, vocabulary, end_id, text, ident, F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(QUEUES)).cast("string")) if many else name)
+    queue, members = _shared(docs, name, text, weights or {}) if many else (name, {})
+    tokens = tokenized(docs, vocabulary, end_id, text, ident, queue)
     width = np.dtype("<u4" if encoder(vocabulary).dtype.itemsize == 4 else "<u2")
     sums = table(tokens.groupBy("bucket", "queue").agg(F.sum("n").alias("n")), "sums")
-    sizes = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # QUEUES rows at most
+    sizes = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string")
     names = sorted(sizes)
     number = {q: i for i, q in enumerate(names)}
-    target = [sizes[q] for q in names] if weights is None else [weights.get(q[1:] if q[0] == "=" else q, min(weights.values())) for q in names]
+    if weights is None:
+        target = [sizes[q] for q in names]
+    else:
+        least = min(weights.values())
+        target = [least * members[q] if q in members else weights.get(q[1:] if q[0] == "=" else q, least) for q in names]
     schedule = Schedule(np.array([sizes[q] for q in names]), np.array(target, float), length)
     base = W.partitionBy("queue").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select("bucket", "queue", F.coalesce(F.sum("n").over(base), F.lit(0)).alias("base"))

@@ -149,5 +149,29 @@ def test_packing_to_target_weights_and_many_queues(spark, monkeypatch):
     assert sum(r.length for r in rows) == 550 and len({r.queue for r in rows}) <= 3
 
 
+def test_over_256_sources_keep_named_targets_and_large_queues(spark):
+    """Named sources get their targets, a large unnamed one a queue of its own, and shared queues their sources' sum."""
+    big = [(i, "w " * 2000, s) for s in ("s0", "s1", "hot") for i in range(10)]
+    small = [(i, "w " * 300, f"t{i}") for i in range(297)]
+    df = spark.createDataFrame(big + small, "doc_id long, text string, source string")
+    rows = P.pack(df, WORD, weights={"s0": 600.0, "s1": 300.0, "t0": 1.0}).collect()
+    first = Counter()
+    for r in rows:
+        if r.sequence_id < 3:
+            first["#" if r.queue[0] == "#" else r.queue] += r.length
+    assert sum(first.values()) == 3 * 2048 and sum(r.length for r in rows) == 30 * 2001 + 297 * 301
+    total = 600 + 300 + 298
+    for q, weight in (("=s0", 600), ("=s1", 300)):  # each of the other queues can be short of its share by one id
+        assert abs(first[q] - 3 * 2048 * weight / total) <= 256 * weight / total
+    assert {"=hot", "=t0"} <= {r.queue for r in rows} and len({r.queue for r in rows}) <= 256
+    own = {r.queue for r in rows if r.queue[0] == "="} - {"=s0", "=s1"}
+    assert abs(first["#"] - 3 * 2048 * (298 - len(own)) / total) <= 128
+    natural = Counter()
+    for r in P.pack(df, WORD).collect():
+        natural[r.queue, r.sequence_id] += r.length
+    share = 2048 * 20010 / (30 * 2001 + 297 * 301)
+    assert all(abs(natural["=hot", k] - share) <= 256 * share / 2048 for k in range(60))
+
+
 def test_vocabularies_are_where_the_library_says():
     assert os.path.isfile(WORD) and os.path.isfile(BYTE)
