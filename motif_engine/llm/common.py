@@ -37,9 +37,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="motif-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         _paths.append(base)
@@ -82,33 +84,46 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: A node with more links than this is a hub; its links don't meet in one task. With more links than HUB * HUBS in all,
+#: hubs have more, so that there are 2 * HUBS of them at most (two numbers each), which is what is broadcast.
+HUB = 4096
+HUBS = 100_000
+
+
+def _with_least(both: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+    """both (u, v) and m, the least number of u's row in low (u, m, n); a hub's links stay where they are."""
+    hubs = F.broadcast(low.filter(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
+    marked = both.join(hubs, "u", "left")
+    rest = marked.filter("hub_m is null").drop("hub_m").join(low.filter(F.col("n") <= hub).select("u", "m"), "u")
+    return marked.filter("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(rest)
+
+
+def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(a, b) links to (id, component): the smallest id that links reach, for each id in edges.
 
-    Alternates large-star and small-star until the edges stay as they are; every round is a table
-    in the shared folder. Degrees are unbounded, so minima use partial aggregation and joins
-    are plain equi-joins, which adaptive execution splits where a hub is hot.
+    Alternates large-star and small-star until the edges stay as they are, however many rounds that takes; every
+    round is a table in the shared folder. Degrees are unbounded: minima use partial aggregation, and a hub's
+    minimum is broadcast to its links, so that no task holds all links of a node.
     """
     e = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .filter("u <> v")
         .distinct()
     )
-    e = table(e, "edges")
-    mark = None
-    for _ in range(rounds):
+    e, mark = table(e, "edges"), None
+    while True:
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(now) == mark or not now[0]:
+            break
+        mark, limit = tuple(now), max(hub, now[0] // HUBS)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = _with_least(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = table(large.filter("u <> v").distinct(), "large-star")
+        low = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = _with_least(large, low, limit)
         e = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = table(e.filter("u <> v").distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return ids.union(roots).distinct()

@@ -3,11 +3,14 @@
 The files' pre-tokenizers never let a token cross from a run of letters into what isn't a letter, nor, in a text in
 normal form, depend on more than that. So a text's ids are the ids of its chunks (letter runs, and what stands
 between) put together, and only chunks that a worker hasn't met go to the tokenizer. Texts outside these conditions
-are encoded whole.
+are encoded whole, and so are those that hold the string of a special token, which gives that token's id as the
+library does by default (literal_specials: the ids of ordinary text). Files with any other pre-tokenizer or normalizer
+are left to the library throughout.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from array import array
@@ -27,6 +30,23 @@ _MARKS = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
 
 
+#: What the two kinds of files that chunks serve do to a text before its merges.
+_FORMS = (
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+)
+
+
+def _known_form(form: dict) -> bool:
+    return form["model"]["type"] == "BPE" and (form["normalizer"], form["pre_tokenizer"]) in _FORMS
+
+
 @lru_cache(1)
 def _byte_table() -> dict[int, int]:
     """Byte-level files write each byte as one letter: printable ones as they are, the others from 256 on."""
@@ -45,11 +65,15 @@ _LINE = _byte_letters("\n")
 class Encoder:
     """Ids of texts, as little-endian bytes of .dtype."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal_specials
+        form = json.loads(self.tokenizer.to_str())
+        self.by_chunks = _known_form(form)
+        specials = [re.escape(t["content"]) for t in form["added_tokens"] if not (literal_specials and t["special"])]
+        self.specials = re.compile("|".join(specials) or r"(?!)", re.I)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         # byte-level ids keep white space, the others drop it
@@ -89,7 +113,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+            elif not self.by_chunks or _ODD.search(text) or self.specials.search(text) or not unicodedata.is_normalized("NFC", text):
                 out.append(np.array(self._ids(text), self.dtype).tobytes())
             else:
                 chunks = self._chunks(text)
@@ -102,12 +126,12 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal_specials: bool = False) -> Encoder:
     """One encoder for each file and worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, literal_specials)
 
 
 def vocabulary_path(name: str) -> str:
