@@ -90,7 +90,7 @@ HUB = 4096
 HUBS = 100_000
 
 
-def _with_least(both: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+def with_least(both: DataFrame, low: DataFrame, hub: int) -> DataFrame:
     """both (u, v) and m, the least number of u's row in low (u, m, n); a hub's links stay where they are."""
     hubs = F.broadcast(low.filter(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
     marked = both.join(hubs, "u", "left")
@@ -118,10 +118,10 @@ def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
         mark, limit = tuple(now), max(hub, now[0] // HUBS)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = _with_least(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_least(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = table(large.filter("u <> v").distinct(), "large-star")
         low = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = _with_least(large, low, limit)
+        small = with_least(large, low, limit)
         e = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = table(e.filter("u <> v").distinct(), "stars")
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -6,15 +6,18 @@ filter with exact confirmation, and uses neither fingerprints nor trees.
 Fingerprints: a bit is set if it is set in over half the XXH64 values (seed 42) of a text's word shingles,
 repeats included. Words are runs without ASCII white space; A-Z are lower-cased.
 
-Search: equal fingerprints meet first, so that only distinct ones are compared. The 64 bits are cut into blocks,
-and of two fingerprints that differ in at most d bits, some block differs in at most d // blocks. Each block has
-a vantage-point tree under the Hamming distance on its bits: a level has one vantage point, a node one child per
-distance to it. A fingerprint is stored in the shard its own distances lead to, and queries every shard that the
-triangle bound |d(x, v) - d(y, v)| <= radius can't rule out. With 4 bits and 5 blocks the radius is 0, so that
-the ring of the same distance is the only one to visit and no boundary overlaps; wider settings visit more rings.
-A shard over SHARD fingerprints is cut by further trees over blocks of the bits outside its block, and what is
-still larger is dealt in tiles: each pair of its pieces is one task. Shards return links between a fingerprint
-and the smallest one of its local component only, so their number stays below the number of stored rows.
+Search: equal fingerprints meet first, so that only distinct ones are compared. The 64 bits are cut into BLOCKS
+blocks with a radius each; the radii and one for each block add up to distance + 1, so that two fingerprints within the
+distance are within the radius of some block (4 bits: 22, 22 and 20 bits with radii 1, 1 and 0). Each block has a
+vantage-point tree under the Hamming distance on its bits: a level has one vantage point, a node one child per
+distance to it. A fingerprint is stored in the shard its own distances lead to. It also queries other shards: by the
+triangle inequality, |d(x, v) - d(y, v)| <= radius on each level, so that of a level's rings only those beside its own
+stay open, and of the branches through open rings only those that reach some value within the radius are followed. Of
+two shards that lie within reach the one of the larger path is queried, so each pair meets once. The trees' depth
+follows the number of fingerprints, which changes how many are compared and not what is found. A shard over SHARD
+rows is cut by further trees over blocks of the bits outside its block, and what is still larger is dealt in tiles:
+each pair of its pieces is one task. Shards return links between a fingerprint and the smallest one of its local
+component only, so their number stays below the number of stored rows.
 
 Edge cases: a text without words (null counts as empty) has fingerprint zero; with fewer words than a shingle
 has, the whole sequence is the one shingle; equal texts share a fingerprint and need no comparison; repeated
@@ -24,24 +27,31 @@ doc_ids are one document's rows and each gives a row; an empty table gives an em
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import OWN, connected_components, parts, ship, table, union
+from .common import HUB, HUBS, OWN, connected_components, parts, ship, table, union, with_least
 
 SEED = 42
 #: Values whose bits are counted at once; bounds the memory that a long text takes.
 _AT_ONCE = 1 << 15
-#: Fingerprints that one task compares with each other.
+#: Rows of one shard that one task compares with each other.
 SHARD = 8192
-#: Vantage points of a tree; the distances to them tell nearly all values of a block of 13 bits apart.
+BLOCKS = 3
+#: Most vantage points of a tree; the distances to them tell nearly all values of a block of 22 bits apart.
 LEVELS = 7
+#: Fingerprints that a shard stores on average, by the choice of the depth, and the bits that one level tells apart.
+_HELD = 128
+_LEVEL_BITS = 3.2
+_ROWS_AT_ONCE = 1 << 16
 
 
 def _hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
@@ -79,16 +89,21 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shin
     return docs.withColumn(name, fp(F.col(f"`{text}`").cast("binary")))
 
 
-def _blocks(bits: list[int], n: int) -> list[list[int]]:
-    return [b.tolist() for b in np.array_split(np.array(bits), min(n, len(bits)))]
+def radii(distance: int, blocks: int) -> list[int]:
+    """A radius for each block; two values that differ in more than each block's radius differ in over distance bits."""
+    whole, more = divmod(distance + 1, min(blocks, distance + 1))
+    return [whole - (i >= more) for i in range(min(blocks, distance + 1))]
 
 
-def _mask(bits: list[int]) -> int:
-    return sum(1 << b for b in bits)
+def _blocks(bits: list[int], radius: list[int]) -> list[list[int]]:
+    """The bits cut into a block for each radius, two bits more for each step of it."""
+    sizes = np.diff(np.linspace(0, len(bits) - 2 * sum(radius), len(radius) + 1).astype(int)) + 2 * np.array(radius)
+    cuts = np.cumsum(sizes).tolist()
+    return [bits[c - n : c] for c, n in zip(cuts, sizes.tolist(), strict=True)]
 
 
-def _long(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _mask(bits: Iterable[int]) -> int:
+    return sum(1 << b for b in bits)
 
 
 class Tree:
@@ -96,165 +111,195 @@ class Tree:
 
     def __init__(self, bits: list[int], radius: int, seed: int, levels: int = LEVELS):
         rng = random.Random(seed)
-        self.bits, self.mask, self.radius = bits, _mask(bits), radius
+        self.bits, self.radius = bits, radius
+        self.mask = np.uint64(_mask(bits))
         # the first vantage point is zero, the others are random halves of the block
-        self.vantage = [0] + [_mask(rng.sample(bits, max(1, len(bits) // 2))) for _ in range(levels - 1)]
-
-    def home(self, col: str) -> str:
-        """SQL for the path of a fingerprint's own shard: its distance on each level, as digits of one number."""
-        out = "0L"
-        for v in self.vantage:
-            out = f"({out} * {len(self.bits) + 1}L + bit_count(({col} ^ {_long(v)}L) & {_long(self.mask)}L))"
-        return out
-
-    def visited(self, col: str) -> str:
-        """SQL for an array of the paths that the triangle bound leaves open to a query."""
-        out = "array(0L)"
-        for v in self.vantage:
-            d = f"bit_count(({col} ^ {_long(v)}L) & {_long(self.mask)}L)"
-            rings = f"sequence(greatest(0, {d} - {self.radius}), least({len(self.bits)}, {d} + {self.radius}))"
-            out = f"flatten(transform({out}, p -> transform({rings}, r -> p * {len(self.bits) + 1}L + r)))"
-        return out
-
-
-def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Which rows of a and b (one or more words each) differ in at most distance bits; half of the words decide most."""
-    half = (a.shape[1] + 1) // 2
-    near = np.bitwise_count(a[:, :half] ^ b[:, :half]).sum(axis=1, dtype=np.int64) <= distance
-    if half < a.shape[1] and near.any():
-        at = np.flatnonzero(near)
-        b = b[at] if len(b) > 1 or len(a) == 1 else b
-        near[at] = np.bitwise_count(a[at] ^ b).sum(axis=1, dtype=np.int64) <= distance
-    return near
-
-
-def _linked_large(fps: np.ndarray, distance: int) -> np.ndarray:
-    """For each fingerprint the index of the smallest one in its component; a row at a time."""
+        self.vantage = [np.uint64(v) for v in [0] + [_mask(rng.sample(bits, max(1, len(bits) // 2))) for _ in range(levels - 1)]]
+        #: What a value within the radius can differ by.
+        self.steps = [np.uint64(_mask(c)) for r in range(1, radius + 1) for c in combinations(bits, r)]
+
+    def distances(self, fps: np.ndarray) -> np.ndarray:
+        """A row for each fingerprint: its distance to each level's vantage point."""
+        return np.stack([np.bitwise_count((fps ^ v) & self.mask) for v in self.vantage], axis=1).astype(np.int64)
+
+    def home(self, fps: np.ndarray) -> np.ndarray:
+        """The path of a fingerprint's own shard: its distances as digits of one number."""
+        return self.distances(fps) @ (len(self.bits) + 1) ** np.arange(len(self.vantage))[::-1]
+
+    def queried(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint's index, path) of the shards beyond its own that it queries, without repeats.
+
+        A value within the radius has rings that the triangle bound leaves open, on every level, and it has the same
+        parity of its differences on all of them; these branches are found from the values themselves.
+        """
+        if not self.steps or not len(fps):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own = self.home(fps)
+        paths = np.sort(np.stack([self.home(fps ^ s) for s in self.steps], axis=1), axis=1)
+        fresh = np.append(np.ones((len(fps), 1), bool), paths[:, 1:] != paths[:, :-1], axis=1) & (paths > own[:, None])
+        row, at = np.nonzero(fresh)
+        return row, paths[row, at]
+
+
+def _united(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """low (each index's root, the smallest of its component) after links between a and b."""
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return low
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = low[low]
+            if (up == low).all():
+                break
+            low = up
+
+
+def _linked_large(fps: np.ndarray, homes: int, distance: int) -> np.ndarray:
+    """For each fingerprint the index of the smallest one in its component, over pairs with one of the first homes."""
     low = np.arange(len(fps))
-    for i in range(len(fps) - 1):
-        near = low[i + 1 :][_near(fps[i + 1 :], fps[i : i + 1], distance)]
-        if len(near):
-            others = np.unique(near)
-            if len(others) > 1 or others[0] != low[i]:
-                others = np.append(others, low[i])
-                low[np.isin(low, others)] = others.min()
+    step = max(1, (1 << 18) // len(fps))
+    for i in range(0, homes, step):
+        rows = fps[i : min(homes, i + step)]
+        a, b = np.nonzero(np.bitwise_count(rows[:, None] ^ fps[None, i:]) <= distance)
+        some = a < b
+        if some.any():
+            low = _united(low, a[some] + i, b[some] + i)
     return low
 
 
-def _linked_small(fps: np.ndarray, group: np.ndarray, distance: int) -> np.ndarray:
-    """The same for many small groups that follow one another: rows are compared at growing offsets."""
-    low, at, a, b = np.arange(len(fps)), np.arange(len(fps)), [], []
+def _linked_small(fps: np.ndarray, group: np.ndarray, visitor: np.ndarray, distance: int) -> np.ndarray:
+    """The same for many small groups that follow one another, homes first: rows are compared at growing offsets."""
+    low, at, a, b = np.arange(len(fps)), np.flatnonzero(~visitor), [], []
     for off in range(1, len(fps)):
         at = at[at + off < len(fps)]
         at = at[group[at] == group[at + off]]
         if not len(at):
             break
-        near = at[_near(fps[at], fps[at + off], distance)]
+        near = at[np.bitwise_count(fps[at] ^ fps[at + off]) <= distance]
         a.append(near)
         b.append(near + off)
-    if not a:
-        return low
-    a, b = np.concatenate(a), np.concatenate(b)
-    while True:
-        m, before = np.minimum(low[a], low[b]), low.copy()
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        low = low[low]
-        if (low == before).all():
-            return low
+    return _united(low, np.concatenate(a), np.concatenate(b)) if a else low
 
 
-def _search(distance: int, small: int = 256, words: int = 0):
-    """For mapInPandas over rows (shard, id) in that order: (a, b) links of ids. The fingerprint is the id itself, or
-    the columns w0 .. of so many words."""
+def _search(distance: int, small: int = 64):
+    """For mapInArrow over rows (shard, visitor, id) in that order: (a, b) links of ids; visitors aren't compared with each other."""
 
-    def pairs(shard: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
-        keep = np.append(True, (shard[1:] != shard[:-1]) | (ids[1:] != ids[:-1]))
-        shard, ids, fps = shard[keep], ids[keep], fps[keep]
+    def pairs(shard: np.ndarray, visitor: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        fps = ids.view(np.uint64)
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         sizes = np.diff(np.append(cuts, len(ids)))
         low = np.arange(len(ids))
         for c, n in zip(cuts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-            low[c : c + n] = c + _linked_large(fps[c : c + n], distance)
+            low[c : c + n] = c + _linked_large(fps[c : c + n], int((~visitor[c : c + n]).sum()), distance)
         few = np.repeat((sizes > 1) & (sizes <= small), sizes)
         if few.any():
             at = np.flatnonzero(few)
-            low[at] = at[_linked_small(fps[at], shard[at], distance)]
-        linked = low != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[linked], "b": ids[low[linked]]})
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words or 1), np.uint64))
-        for pdf in batches:
-            fps = pdf[[f"w{i}" for i in range(words)] if words else ["id"]].to_numpy(np.int64).view(np.uint64)
-            new = (pdf["shard"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), np.ascontiguousarray(fps))
-            rest = tuple(np.concatenate(x) for x in zip(rest, new, strict=True))
-            shard = rest[0]
-            cut = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
-            if cut:
-                yield pairs(*(x[:cut] for x in rest))
-                rest = tuple(x[cut:] for x in rest)
-        if len(rest[0]):
-            yield pairs(*rest)
+            low[at] = at[_linked_small(fps[at], shard[at], visitor[at], distance)]
+        linked = ids[low] != ids
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[low[linked]])], ["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def whole() -> tuple[np.ndarray, ...]:
+            return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "visitor", "id")))
+            size += batch.num_rows
+            if size >= _ROWS_AT_ONCE and held[-1][0][-1] != held[0][0][0]:
+                rows = whole()
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                yield pairs(*(x[:cut] for x in rows))
+                held, size = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
+        if held:
+            yield pairs(*whole())
 
     return search
 
 
-def _stored(fps: DataFrame, trees: list[Tree], keep: list[str]) -> DataFrame:
-    """keep, fp, tree and path: a row for the own shard and, with a radius, for each other shard to visit.
+def _stored(fps: DataFrame, trees: list[Tree]) -> DataFrame:
+    """fps (id, outer) to (outer, tree, shard, visitor, id): a row for the own shard and one for each shard that is queried.
 
-    A shard holds home rows and visitors alike: of two fingerprints in reach, either visits the other's home.
+    Shard numbers are hashes of outer, tree and path; where two meet in one number, they are compared in vain only.
     """
-    each = [f"array({t.home('fp')})" if not t.radius else t.visited("fp") for t in trees]
-    each = ", ".join(f"transform({x}, p -> named_struct('tree', {i}, 'path', p))" for i, x in enumerate(each))
-    return fps.select(*keep, "fp", F.explode(F.expr(f"flatten(array({each}))")).alias("at")).select(*keep, "fp", "at.*")
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, _ROWS_AT_ONCE // 8):
+                cut = batch.slice(k, _ROWS_AT_ONCE // 8)
+                ids, outer = cut.column("id").to_numpy(), cut.column("outer").to_numpy()
+                fps = ids.view(np.uint64)
+                for i, tree in enumerate(trees):
+                    row, path = tree.queried(fps)
+                    row = np.append(np.arange(len(ids)), row)
+                    path = np.append(tree.home(fps), path)
+                    shard = _mixed(_mixed(outer[row].view(np.uint64) + np.uint64(i + 1)) ^ path.astype(np.uint64))
+                    columns = [outer[row], np.full(len(row), i, np.int8), shard.view(np.int64), np.arange(len(row)) >= len(ids), ids[row]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["outer", "tree", "shard", "visitor", "id"])
+
+    return fps.mapInArrow(stored, "outer long, tree byte, shard long, visitor boolean, id long")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads neighbouring numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _dealt(rows: DataFrame, distance: int) -> DataFrame:
-    """Links within each shard; a shard is in one task and holds SHARD rows at most."""
-    rows = rows.select("shard", F.col("fp").alias("id")).repartition(parts(rows.sparkSession), "shard").sortWithinPartitions("shard", "id")
-    return rows.mapInPandas(_search(distance), "a long, b long")
+    """Links within each shard; a shard is in one task."""
+    rows = rows.select("shard", "visitor", "id").repartition(parts(rows.sparkSession), "shard").sortWithinPartitions("shard", "visitor", "id")
+    return rows.mapInArrow(_search(distance), "a long, b long")
+
+
+def forest(n: int, bits: list[int], distance: int, blocks: int, seed: int) -> list[Tree]:
+    """A tree for each block of bits; their depth follows the number of fingerprints."""
+    radius = radii(distance, blocks)
+    levels = min(LEVELS, max(1, int(np.ceil(np.log2(max(2, n) / _HELD) / _LEVEL_BITS))))
+    return [Tree(b, r, seed + i, levels) for i, (b, r) in enumerate(zip(_blocks(bits, radius), radius, strict=True))]
 
 
-def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, shard: int = SHARD) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
     """(fp) distinct to (a, b): links within distance, enough of them to connect all that links connect."""
-    blocks = blocks or distance + 1
-    radius = distance // blocks
-    cut = _blocks(list(range(64)), blocks)
-    trees = [Tree(b, radius, i) for i, b in enumerate(cut)]
-    first = table(_stored(fps, trees, []).withColumn("shard", F.xxhash64("tree", "path")), "stored")
-    sizes = first.groupBy("shard", "tree").agg(F.count(F.lit(1)).alias("n"))
-    large = table(sizes.filter(F.col("n") > shard), "large")
+    fps = fps.select(F.col("fp").alias("id"), F.lit(0).cast("long").alias("outer"))
+    trees = forest(fps.count(), list(range(64)), distance, blocks, 0)
+    first = _stored(fps, trees)
+    large = table(first.groupBy("shard", "tree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard), "large")
     if large.isEmpty():
         return _dealt(first, distance)
     found = [_dealt(first.join(large, "shard", "left_anti"), distance)]
     # one level deeper: blocks of the bits that the shard's tree hasn't used
     deeper = []
-    for i, b in enumerate(cut):
-        rest = _blocks([x for x in range(64) if x not in b], blocks)
+    for i, t in enumerate(trees):
         own = first.filter(F.col("tree") == i).join(large.filter(F.col("tree") == i).select("shard"), "shard", "left_semi")
-        own = own.select("fp", F.col("shard").alias("outer"))
-        deeper.append(_stored(own, [Tree(x, radius, 100 + 10 * i + k) for k, x in enumerate(rest)], ["outer"]))
-    second = table(union(deeper).withColumn("shard", F.xxhash64("outer", "tree", "path")).select("fp", "shard"), "deeper")
+        rest = [x for x in range(64) if x not in t.bits]
+        deeper.append(_stored(own.select("id", F.col("shard").alias("outer")), forest(1 << 60, rest, distance, blocks, 100 + 10 * i)))
+    second = table(union(deeper).select("shard", "visitor", "id"), "deeper")
     sizes = second.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
     huge = table(sizes.withColumn("pieces", F.expr(f"cast(ceil(2 * n / {shard}) as int)")), "huge")
     found.append(_dealt(second.join(huge, "shard", "left_anti"), distance))
     if not huge.isEmpty():
-        tiled = second.join(huge, "shard").withColumn("mine", F.expr("cast(pmod(xxhash64(fp), pieces) as int)"))
+        tiled = second.join(huge, "shard").withColumn("mine", F.expr("cast(pmod(xxhash64(id), pieces) as int)"))
         tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
         tile = F.xxhash64("shard", F.least("mine", "other"), F.greatest("mine", "other"))
-        found.append(_dealt(tiled.select("fp", tile.alias("shard")), distance))
+        found.append(_dealt(tiled.select("id", "visitor", tile.alias("shard")), distance))
     return union(found)
 
 
 def components(docs: DataFrame, text: str = "text", ident: str = "doc_id", distance: int = 4, shingle: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id (the smallest doc_id that links reach)."""
     rows = table(with_fingerprint(docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("t")), "t", "fp", shingle).drop("t"), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     classes = connected_components(links(first.select("fp"), distance)).select(F.col("id").alias("fp"), "component")
-    named = first.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = table(named.join(least, "component").select("fp", "component_id"), "components")
+    named = table(first.join(classes, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("u")), "named")
+    least = table(named.groupBy("u").agg(F.min("first").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    named = table(with_least(named, least, max(HUB, first.count() // HUBS)).select("fp", F.col("m").alias("component_id")), "components")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -266,21 +311,8 @@ COUNTED = 5_000
 FREQUENT = 200_000
 #: More rows to drop than this are joined by shuffle instead of broadcast.
 BROADCAST_DROPS = 1_000_000
-#: Words of parities and of wide fingerprints, and the probability that a pair at similarity 0.8 keeps a sampled bit
-#: of the latter equal.
+#: Words of 64 parities of a set.
 WORDS = 4
-_SAME_BIT = 0.8486
-
-
-def samples(n: int) -> list[list[int]]:
-    """Masks of sampled bits of n wide fingerprints, for shards in which a pair at similarity 0.8 meets with probability
-    0.95. deduplicate() doesn't use them, as it may not lose pairs."""
-    bits = max(13, int(np.ceil(np.log2(max(1, n) / (SHARD / 4)))))
-    out = []
-    for t in range(int(np.ceil(3 / _SAME_BIT**bits))):
-        chosen = random.Random(1000 + t).sample(range(64 * WORDS), bits)
-        out.append([_long(_mask([b % 64 for b in chosen if b // 64 == w])) for w in range(WORDS)])
-    return out
 
 
 def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:

@@ -78,6 +78,8 @@ def test_components(spark):
     want = components(600, edges)
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(want[i] == c for i, c in got.items()) and {x for e in edges if e[0] != e[1] for x in e} <= set(got)
+    split = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), hub=5).collect()}
+    assert split == got and connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_fingerprint(text, k):
@@ -113,10 +115,12 @@ def close_fingerprints(n=400, seed=1):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("distance, blocks, shard", [(4, None, 8192), (4, None, 8), (4, 3, 8192), (9, 5, 8192), (4, None, 2)])
-def test_links_connect_what_brute_force_connects(spark, distance, blocks, shard):
-    """Also with a radius (overlapping shards), with deeper trees and with tiles."""
-    fps = close_fingerprints(120 if blocks else 400)
+@pytest.mark.parametrize("distance, blocks, shard, levels", [(4, 3, 8192, 7), (4, 3, 8192, 1), (4, 3, 8, 2), (4, 3, 2, 1), (9, 5, 8192, 3), (4, 5, 30, 3)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, distance, blocks, shard, levels):
+    """With the production setting (radii 1, 1, 0) and others, trees of any depth, deeper trees and tiles."""
+    monkeypatch.setattr(S, "LEVELS", levels)
+    monkeypatch.setattr(S, "_HELD", 1 / 8**levels)
+    fps = close_fingerprints(120 if levels < 7 else 400)
     f = np.array(fps, np.uint64)
     want = components(len(fps), zip(*np.nonzero(np.bitwise_count(f[:, None] ^ f[None]) <= distance), strict=True))
     df = spark.createDataFrame([(x,) for x in f.view(np.int64).tolist()], "fp long")
@@ -126,12 +130,52 @@ def test_links_connect_what_brute_force_connects(spark, distance, blocks, shard)
     assert components(len(fps), [(at[r.a], at[r.b]) for r in rows]) == want
 
 
+def test_production_trees_query_over_boundaries_and_prune():
+    """Pairs within 4 bits share a shard that one of them is stored in; the triangle bound closes most others."""
+    trees = S.forest(10**6, list(range(64)), 4, S.BLOCKS, 0)
+    assert [t.radius for t in trees] == [1, 1, 0] and [len(t.bits) for t in trees] == [22, 22, 20] and len(trees[0].vantage) == 5
+    rng = random.Random(5)
+    a = np.array([rng.getrandbits(64) for _ in range(3000)], np.uint64)
+    b = np.array([int(x) ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 5))) for x in a], np.uint64)
+    met = np.zeros(len(a), int)
+    for t in trees:
+        ha, hb = t.home(a), t.home(b)
+        at_home = ha == hb
+        over = np.zeros(len(a), bool)
+        for x, y, home in ((a, ha, hb), (b, hb, ha)):
+            row, path = t.queried(x)
+            over[row[path == home[row]]] = True
+            # what is queried keeps the triangle bound on every level, and rings beyond it aren't queried
+            digits = np.stack([path // 23 ** k % 23 for k in range(len(t.vantage))][::-1], axis=1) if len(t.bits) == 22 else np.zeros((0, len(t.vantage)))
+            assert (np.abs(digits - t.distances(x)[row][: len(digits)]) <= t.radius).all()
+            if t.radius:
+                assert len(row) / len(x) < 12 and len(np.unique(path)) > 1000
+        met += at_home | over
+        assert t.radius == 0 or over.sum() > 300
+    assert (met > 0).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 12), st.integers(1, 8))
+def test_radii_leave_no_pair_out(distance, blocks):
+    r = S.radii(distance, blocks)
+    assert sum(x + 1 for x in r) == distance + 1 and all(x >= 0 for x in r) and len(r) <= blocks
+    cut = S._blocks(list(range(64)), r) if 2 * sum(r) < 60 else None
+    assert cut is None or sorted(sum(cut, [])) == list(range(64))
+
+
 def test_both_ways_of_comparing_agree():
-    fps = np.array(close_fingerprints(80), np.uint64)[:, None]
-    group = np.repeat([0, 1], [30, len(fps) - 30])
-    small = S._linked_small(fps, group, 4)
-    large = np.concatenate([S._linked_large(fps[:30], 4), 30 + S._linked_large(fps[30:], 4)])
+    rng = np.random.default_rng(0)
+    fps = np.array(close_fingerprints(160), np.uint64)
+    rng.shuffle(fps)
+    group = np.repeat([0, 1], [70, len(fps) - 70])
+    visitor = np.concatenate([np.arange(70) >= 30, np.arange(len(fps) - 70) >= 50])
+    small = S._linked_small(fps, group, visitor, 4)
+    large = np.concatenate([S._linked_large(fps[:70], 30, 4), 70 + S._linked_large(fps[70:], 50, 4)])
     assert small.tolist() == large.tolist()
+    home = ~visitor
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 4) & (home[:, None] | home[None]) & (group[:, None] == group[None])
+    assert small.tolist() == components(len(fps), zip(*np.nonzero(near), strict=True))
 
 
 def test_simhash_components_and_rows(docs):
@@ -206,10 +250,6 @@ def test_similar_sets_share_a_prefix_value_and_parities_bound_their_difference(a
     assert sum((p ^ q) % 2**64 >> k & 1 for p, q in zip(S.parities(x), S.parities(y), strict=True) for k in range(64)) <= len(a ^ b)
 
 
-def test_more_fingerprints_get_longer_samples_and_more_trees():
-    assert len(S.samples(10**6)) == 26 and len(S.samples(5 * 10**10)) > 150
-
-
 def vectors(n=300, dims=16, seed=2):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n // 3, dims))
