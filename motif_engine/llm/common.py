@@ -117,10 +117,10 @@ def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
             break
         mark, limit = tuple(now), max(hub, now[0] // HUBS)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = with_least(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = table(large.filter("u <> v").distinct(), "large-star")
-        low = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = large.filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = with_least(large, low, limit)
         e = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = table(e.filter("u <> v").distinct(), "stars")
