@@ -265,11 +265,13 @@ def brute_links(x, cosine=0.9):
     return near.sum(axis=1).tolist(), components(len(x), zip(*np.nonzero(near), strict=True))
 
 
-@pytest.mark.parametrize("cell, tile", [(4096, 2048), (20, 7), (40, 1)])
-def test_embeddings_agree_with_brute_force(spark, monkeypatch, cell, tile):
+@pytest.mark.parametrize("cell, tile, clustered", [(4096, 2048, False), (20, 7, False), (40, 1, True)])
+def test_embeddings_agree_with_brute_force(spark, monkeypatch, cell, tile, clustered):
     monkeypatch.setattr(E, "CELL", cell)
     monkeypatch.setattr(E, "TILE", tile)
     x = vectors()
+    if clustered:  # few directions, so that ranges and rings close most of the visits
+        x = (x * 0.05 + np.eye(16, dtype=np.float32)[np.arange(len(x)) % 5]).astype(np.float32)
     x = np.concatenate([x, np.repeat(x[:1], 30, axis=0)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = sorted(E.near_duplicates(df).collect(), key=lambda r: r.vec_id)
@@ -287,6 +289,30 @@ def test_embeddings_that_link_with_nothing(spark):
     assert E.near_duplicates(df.filter("vec_id = 3")).count() == 1
 
 
+def test_rows_of_one_identifier_and_doubles(spark):
+    """Counts and components are each row's own; components beyond single precision count."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [1.0, 0.2]), (3, [1e300, 1e299]), (4, [1e-320, 0.0]), (5, [-1.0, 1e-9]), (5, [-1.0, 1e-9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("x")).withColumn("v", F.lit(1))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df).collect())
+    assert got == [(1, 0, 1, True), (1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 4, 1, False), (5, 1, 5, True), (5, 1, 5, True)]
+
+
+def test_ranges_and_rings_close_visits_of_clustered_vectors():
+    """Vectors about few directions leave most cells and rings closed; random directions leave nearly all open."""
+    rng = np.random.default_rng(0)
+    centres = E._unit(rng.normal(size=(12, 32)))
+    x = E._unit(centres[rng.integers(0, 12, 2000)] + rng.normal(size=(2000, 32)) * 0.02)
+    cells = E._Cells(centres, np.sqrt(0.2))
+    dot = x @ centres.T
+    home, far = dot.argmax(axis=1), np.sqrt(2 - 2 * dot.max(axis=1))
+    d = np.sqrt(np.maximum(0, 2 - 2 * dot))
+    for c in range(12):
+        cells.low[c], cells.high[c], cells.top[c] = d[home == c].min(axis=0), d[home == c].max(axis=0), far[home == c].max()
+    cells.rings, cells.first = np.zeros(12), np.arange(13)
+    row, cell, low, n = cells.visits(x, home, np.zeros(2000, np.int64), far)
+    assert n.sum() < 0.05 * 2000 * 11
+
+
 def test_fewer_copies_than_a_near_group_needs(spark):
     x = vectors(60)
     pivots = E.farthest_first(E._unit(x), 5)
