@@ -3,9 +3,12 @@
 DataFrame functions only. A pattern's matches are taken with regexp_extract_all and what lies between them with
 split on the same pattern, so that running sums of lengths give each match's place in code points. The two
 first-order Markov models (random strings, ordinary identifiers) are counted on labelled samples: what the
-fixed patterns match in the training rows, and the ordinary words of these rows. The training rows are a sample
-by the doc_id's hash, of TRAIN_DOCS rows on average. A string of TOKEN is a further span (kind markov) if it has
-a digit and a letter, overlaps no base span, and its mean log-likelihood ratio per character is over MIN_RATIO.
+fixed patterns match in the training rows, and the words of these rows outside all matches. The training rows are a sample
+by the doc_id's hash, of TRAIN_DOCS rows on average. A string of TOKEN is a further span (kind markov) if it overlaps
+no base span, has a letter, and a digit or letters of both cases, its mean log-likelihood ratio per character is
+over MIN_RATIO, and their sum over MIN_SUM (over MIN_SUM_LETTERS without a digit), so that short strings have to be the
+more random. '/', '=' and '.' end a string: what a path or a pair joins is judged piece by piece. Time is linear in a
+string's length: characters are taken apart once.
 
 Edge cases: a null text counts as empty; no spans give counts of 0 and the digest of an empty string; without
 labelled samples both models are uniform and add nothing; rows repeated with one doc_id each give a row; an
@@ -30,13 +33,16 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
+#: Runs of 12 or more with a digit, or a capital that isn't the first character.
+TOKEN = r"(?<![A-Za-z0-9+_-])(?=[A-Za-z+_-]*+[0-9]|[A-Za-z0-9+_-][a-z0-9+_-]*+[A-Z])[A-Za-z0-9+_-]{12,}+"
 WORD = r"[A-Za-z_][A-Za-z0-9_-]{4,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 #: Index 0 stands for any other character.
 SYMBOLS = len(ALPHABET) + 1
 TRAIN_DOCS = 20_000
 MIN_RATIO = 0.4
+MIN_SUM = 8.0
+MIN_SUM_LETTERS = 20.0
 _CHUNK = 256
 
 
@@ -94,24 +100,31 @@ def _symbol(char: str) -> str:
 
 def transition_counts(samples: DataFrame) -> DataFrame:
     """(random boolean, s string) to (random, a, b, n): how often symbol b follows symbol a."""
-    pair = F.explode(F.expr("transform(sequence(2, length(s)), i -> substring(s, i - 1, 2))"))
-    pairs = samples.filter(F.length("s") > 1).select("random", pair.alias("p"))
-    pairs = pairs.groupBy("random", "p").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.select("random", F.expr(_symbol("substring(p, 1, 1)")).alias("a"), F.expr(_symbol("substring(p, 2, 1)")).alias("b"), "n")
+    chars = samples.filter(F.length("s") > 1).select("random", F.split("s", "").alias("c"))
+    pair = F.explode(F.expr("arrays_zip(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1))"))
+    pairs = chars.select("random", pair.alias("p")).select("random", F.col("p")["0"].alias("x"), F.col("p")["1"].alias("y"))
+    pairs = pairs.groupBy("random", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.select("random", F.expr(_symbol("x")).alias("a"), F.expr(_symbol("y")).alias("b"), "n")
     return pairs.groupBy("random", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def log_ratios(counts: list[tuple[bool, int, int, int]]) -> list[float]:
-    """log P(b|a, random) - log P(b|a, ordinary) at a * SYMBOLS + b, with one added to every count."""
-    table = {True: [[1.0] * SYMBOLS for _ in range(SYMBOLS)], False: [[1.0] * SYMBOLS for _ in range(SYMBOLS)]}
-    for random, a, b, n in counts:
-        table[random][a][b] += n
-    out = []
-    for a in range(SYMBOLS):
-        r, o = table[True][a], table[False][a]
-        sr, so = math.log(sum(r)), math.log(sum(o))
-        out += [math.log(r[b]) - sr - math.log(o[b]) + so for b in range(SYMBOLS)]
-    return out
+    """log P(b|a, random) - log P(b|a, ordinary) at a * SYMBOLS + b.
+
+    P(b|a) is smoothed with the symbol's own probability P(b), this one by one added to every count: a symbol that
+    ordinary strings don't have is unlikely after any other.
+    """
+
+    def model(random: bool) -> list[float]:
+        n = [[0.0] * SYMBOLS for _ in range(SYMBOLS)]
+        for kind, a, b, count in counts:
+            if kind == random:
+                n[a][b] += count
+        total = sum(map(sum, n)) + SYMBOLS
+        p = [(sum(row[b] for row in n) + 1) / total for b in range(SYMBOLS)]
+        return [(n[a][b] + SYMBOLS * p[b]) / (sum(n[a]) + SYMBOLS) for a in range(SYMBOLS) for b in range(SYMBOLS)]
+
+    return [math.log(r) - math.log(o) for r, o in zip(model(True), model(False), strict=True)]
 
 
 def train(docs: DataFrame, ident: str = "doc_id", train_docs: int = TRAIN_DOCS) -> list[float]:
@@ -121,16 +134,17 @@ def train(docs: DataFrame, ident: str = "doc_id", train_docs: int = TRAIN_DOCS)
     sample = docs.filter(F.pmod(F.xxhash64(ident), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
     spans = base_spans(sample, [])
     random = spans.select(F.explode(F.expr("concat(transform(assign_s, s -> s.group), transform(access_s, s -> s.match), transform(hex_s, s -> s.match))")).alias("s"))
-    words = sample.select(F.explode(F.regexp_extract_all(whole_text(), F.lit(WORD), 0)).alias("s"))
-    words = words.filter(~F.col("s").rlike(f"^(?:{HEX})$|^{ACCESS}"))
+    # ordinary words are those outside all matches
+    rest = F.regexp_replace(F.regexp_replace(whole_text(), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
+    words = sample.select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), 0)).alias("s"))
     samples = random.select(F.lit(True).alias("random"), "s").unionByName(words.select(F.lit(False).alias("random"), "s"))
     return log_ratios([(r.random, r.a, r.b, r.n) for r in transition_counts(samples).collect()])
 
 
-def mean_ratio(token: str, ratios: str) -> str:
-    """SQL for a token's mean log-likelihood ratio per transition."""
-    at = f"{_symbol(f'substring({token}, i - 1, 1)')} * {SYMBOLS} + {_symbol(f'substring({token}, i, 1)')}"
-    return f"aggregate(sequence(2, length({token})), 0D, (a, i) -> a + {ratios}[{at}]) / (length({token}) - 1)"
+def sum_ratio(token: str, ratios: str) -> str:
+    """SQL for the sum of a token's log-likelihood ratios over its transitions."""
+    step = f"named_struct('last', {_symbol('c')}, 'sum', a.sum + if(a.last < 0, 0D, {ratios}[a.last * {SYMBOLS} + {_symbol('c')}]))"
+    return f"aggregate(split({token}, ''), named_struct('last', -1, 'sum', 0D), (a, c) -> {step}, a -> a.sum)"
 
 
 def _joined(spans: Column) -> Column:
@@ -144,9 +158,12 @@ def scan(docs: DataFrame, ratios: list[float], ident: str = "doc_id", min_ratio:
     model = "split('" + ",".join(f"{x:.6f}" for x in ratios) + "', ',')"
     df = df.withColumn("base", F.array_sort(F.concat("assign_s", "access_s", "hex_s")))
     free = "not exists(base, b -> b.start < s.end and s.start < b.end)"
-    mixed = "s.match rlike '[0-9]' and s.match rlike '[A-Za-z]'"
+    mixed = "s.match rlike '[A-Za-z]' and s.match rlike '[0-9a-z]'"
     df = df.withColumn("tokens", F.expr(f"filter(markov_s, s -> {mixed} and {free})"))
-    df = df.withColumn("markov", F.expr(f"filter(tokens, s -> {mean_ratio('s.match', f'cast({model} as array<double>)')} > {min_ratio}D)"))
+    summed = sum_ratio("s.match", f"cast({model} as array<double>)")
+    df = df.withColumn("sums", F.expr(f"transform(tokens, s -> named_struct('s', s, 'sum', {summed}))"))
+    enough = f"x.sum > if(x.s.match rlike '[0-9]', {MIN_SUM}D, {MIN_SUM_LETTERS}D) and x.sum > {min_ratio}D * (length(x.s.match) - 1)"
+    df = df.withColumn("markov", F.expr(f"transform(filter(sums, x -> {enough}), x -> x.s)"))
     return df.select(ident, "base", "markov")
 
 

@@ -1,5 +1,9 @@
 import hashlib
+import os
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -49,6 +53,30 @@ def test_markov_spans(spark):
     assert {(r.random, r.a, r.b, r.n) for r in counts} == {(True, 1, 1, 1), (True, 1, 2, 1)}
 
 
+def test_short_joined_and_letter_only_strings(spark):
+    """Pieces of paths and pairs are judged on their own; ordinary names of any length stay."""
+    rng = np.random.default_rng(6)
+    random = lambda n, of: "".join(rng.choice(list(of), n))
+    mixed = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(i, f"the number_of_items was read from configuration_value and password={random(24, mixed)} then some_other_identifier2 of SomeCamelCaseClassName stays") for i in range(300)]
+    secrets = ["q7Zk2Xv9Lp4T", "Kq8ZxW3vTj6Yb1", random(40, mixed)]
+    rows += [(900, f"see /config/{secrets[0]}/values and user={secrets[1]}=x, or {secrets[2]}"), (901, "number_of_items2 /configuration_value/some_other_identifier2 SomeCamelCaseClassName"), (902, "XqZkWvTjYbGfPlDcHnRsMx" * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [s.match for s in r.markov] for r in S.scan(df, S.train(df.filter("doc_id < 900"))).collect()}
+    assert found[900] == secrets and found[901] == [] and found[902] == [rows[-1][1]] and not any(found[i] for i in range(300))
+
+
+def test_a_token_of_a_megabyte_takes_seconds(spark):
+    token = "".join(np.random.default_rng(0).choice(list("01ghijkXYZ_"), 1_000_000))
+    df = spark.createDataFrame([(1, "x " + token), (2, "password=" + token), (3, "Aa" + "a" * 1_000_000), (4, "0123456789abcdef" * 62_500)], "doc_id long, text string")
+    start = time.time()
+    S.train(df)
+    assert time.time() - start < 20
+    start = time.time()
+    assert S.scan(df, [0.5] * S.SYMBOLS**2).select(F.sum(F.size("markov"))).first()[0] >= 1
+    assert time.time() - start < 20
+
+
 def test_digest_of_no_spans(spark):
     df = spark.createDataFrame([(1, "nothing")], "doc_id long, text string")
     r = S.scan(df, S.train(df)).select(F.sha2(S._joined(F.col("base")), 256).alias("h")).first()
@@ -161,10 +189,108 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_page_text():
     page = H.Page(PAGE)
-    path = page.scores()[0][0]
-    assert path == "div.post.post-#"
-    assert page.text(path).split("\n\n") == ["Title & more", "First line next", "Second one a < b", "one", "two"]
-    assert H.extract(PAGE, "article.other") == page.text(path) and H.extract(None, "x") == "" and H.extract("", None) == "" and H.extract("just words", None) == "just words"
+    scores = page.scores()
+    best = H._best(scores)
+    assert scores[best][2] == "div.post.post-#"
+    assert page.text(best).split("\n\n") == ["Title & more", "First line next", "Second one a < b", "one", "two"]
+    assert H.extract(PAGE, 12345) == page.text(best) and H.extract(None, 1) == "" and H.extract("", None) == "" and H.extract("just words", None) == "just words"
+
+
+class PlainArticle(HTMLParser):
+    """An independent reader of pages whose text is one article: its blocks without adverts, asides, forms and the like."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.off, self.blocks, self.now = 0, [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.now).split())
+        self.blocks += [text] if text else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside += 1
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).split()
+        if tag in ("script", "style", "nav", "footer", "aside", "form") or {"ad", "comments", "cookie", "share-bar"} & set(names):
+            self.off.append(tag)
+        elif self.off and tag == self.off[-1]:
+            self.off.append(tag)
+        if tag not in ("b", "i", "a", "em", "strong", "span", "br"):
+            self.flush()
+        elif tag == "br":
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.flush()
+        if self.off and tag == self.off[-1]:
+            self.off.pop()
+        if tag == "article":
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.off:
+            self.now.append(data)
+
+
+def plain_article(source):
+    p = PlainArticle()
+    p.feed(source or "")
+    p.close()
+    p.flush()
+    return "\n\n".join(p.blocks)
+
+
+def generated_page(rng, body_class):
+    word = lambda n: " ".join(rng.choice(["alpha", "b&amp;b", "g\n\tg", "d&#233;", "&lt;e&gt;", "zeta"]) for _ in range(n))
+    junk = [f'<div class="ad">{word(30)}</div>', f"<aside>{word(20)}</aside>", f"<form><p>{word(9)}</p></form>", f'<div class="comments"><p>{word(rng.randrange(5, 200))}</p></div>', '<script>if (a < b) "</p>"</script>', f'<ul class="share-bar"><li><a href=x>{word(2)}</a></ul>']
+    good = [f"<p>{word(40)}<p>{word(8)} <b>{word(2)}</b>", f'<h2 id="related-work">{word(3)}</h2>', f'<section id="legal-status"><p>{word(30)}</p></section>', f"<ul><li>{word(4)}<li><a href='>'>{word(3)}</a> {word(9)}</ul>", f"<table><tr><td>{word(5)}<td>{word(5)}</table>", f'<p class="alert">{word(25)}</p>', f"<blockquote>{word(12)}<br>{word(3)}</blockquote>"]
+    parts = [*(rng.choice(good) for _ in range(6)), *(rng.choice(junk) for _ in range(4))]
+    rng.shuffle(parts)
+    inner = f"<h1>{word(4)}</h1><p>{word(12)}</p><div class={body_class}>{''.join(parts)}</div><p>{word(60)}</p>"
+    return f"<!DOCTYPE html><title>{word(3)}</title><body><nav><a href=/>{word(3)}</a></nav><div class=wrap><article class='post print'>{inner}</article><div class=comments><p>{word(90)}</p></div></div><footer>{word(9)}</footer>"
+
+
+def test_generated_pages_against_an_independent_parser(spark):
+    rng = random.Random(3)
+    rows = [(i, f"http://h{i % 5}.example/{i}", generated_page(rng, ["body", "x12", "text"][i % 3])) for i in range(150)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, source in rows:
+        assert got[i] == plain_article(source), source
+
+
+def test_driver_pages_against_an_independent_parser(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no driver tables")
+    pages = spark.read.parquet(path)
+    got = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    for r in pages.collect():
+        assert got[r.page_id] == plain_article(r.html), r.html
+
+
+def test_names_count_by_their_place():
+    assert H.extract('<article class="article print"><h2 id="related-work">A</h2><p class="alert">B</p><div class="comment-list">no</div></article>', None) == "A\n\nB"
+    assert H.extract(f'<body><section class="legal"><p>{"terms " * 50}</p></section><div class="notice"><p>short</p></div>', None) == ("terms " * 50).strip()
+    assert H.extract("<article><div class=entry-header><h1>H</h1><p>by me</p></div><p>x</p></article>", None) == "H\n\nx"
+    long, lead = "word " * 200, "lead text"
+    page = f"<article><h1>T</h1><p>{lead}</p><div class=body><p>{long}</p></div><div class=comments><p>{'hm ' * 200}</p></div></article>"
+    assert H.extract(page, None) == f"T\n\n{lead}\n\n{long.strip()}"
+
+
+HOSTILE = {
+    "quotes": "<a x='" * 170_000, "nested": "<div>" * 100_000 + "x", "paragraphs": "<div><p>x</p>" * 80_000, "inline": "<b>" + "<div>" * 1000 + "</b>" * 200_000, "pairs": '<a "b>"' * 150_000,
+    "starts": "<" * 1_000_000, "classes": "<div " + 'class="' * 140_000, "script": "<script>" + "</script " * 100_000, "spans": "<span class=ad>" * 60_000 + "<p>a" * 60_000, "equals": "<a x=" + " " * 500_000 + "'" * 500_000,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(kind):
+    start = time.process_time()
+    text = H.extract(HOSTILE[kind], None)
+    assert time.process_time() - start < 10
+    assert kind != "paragraphs" or text.count("x") == 80_000
 
 
 @pytest.mark.parametrize("source", ["<p>a<div", "<!-- never closed", "<p title='>'>x</p>", "</div></p>", "<a b='c>d", "<script>x", "<" * 50, "<article><header><h1>H</h1><p>by me</p></header><p>x</p></article>"])
