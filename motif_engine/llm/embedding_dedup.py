@@ -66,7 +66,7 @@ def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _assign(pivots: np.ndarray):
-    """Rows of _VECTORS to the same with home, the nearest pivot, and far, the distance to it."""
+    """Rows (id, mult, v) to the same with home, the nearest pivot, and far, the distance to it."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,14 +254,11 @@ def _joined(cosine: float):
     return joined
 
 
-_VECTORS = "id long, mult long, v array<double>"
-
-
 def _range_join(reps: DataFrame, cosine: float) -> DataFrame:
     """reps (id, mult, v) of one length to (a, b, n): a links with b, and so far with vectors of weight n."""
-    n = reps.count()
+    n, columns = reps.count(), f"id long, mult long, v {reps.schema['v'].dataType.simpleString()}"
     pivots = farthest_first(_unit(np.array([r.v for r in reps.select("v").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()])), min(MOST_PIVOTS, -(-n // CELL)))
-    assigned = table(reps.mapInArrow(_assign(pivots), f"{_VECTORS}, home int, far double"), "cells")
+    assigned = table(reps.mapInArrow(_assign(pivots), f"{columns}, home int, far double"), "cells")
     cells = _Cells(pivots, math.sqrt(2 - 2 * cosine))
     found = assigned.mapInArrow(_ranged(pivots), "home int, k int, low double, high double").groupBy("home", "k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     for c in found.collect():  # MOST_PIVOTS * REFERENCES rows at most
@@ -273,7 +270,7 @@ def _range_join(reps: DataFrame, cosine: float) -> DataFrame:
         cells.top[c.home] = c.top
         rings[c.home] = np.append(0.0, np.interp(np.arange(1, tiles) / tiles, np.linspace(0, 1, _QUANTILES + 1), c.q))
     cells.rings, cells.first = np.concatenate(rings), np.cumsum([0, *map(len, rings)])
-    rows = assigned.mapInArrow(_dealt(cells), f"cell int, tile int, visitor byte, {_VECTORS}")
+    rows = assigned.mapInArrow(_dealt(cells), f"cell int, tile int, visitor byte, {columns}")
     rows = rows.repartition(max(parts(reps.sparkSession), min(len(cells.rings), 100_000)), "cell", "tile").sortWithinPartitions("cell", "tile", "visitor")
     return rows.mapInArrow(_joined(cosine), "a long, b long, n long")
 
@@ -282,7 +279,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, ident: str = "vec_i
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"  # floats are kept as such, for they move; all arithmetic is in doubles
+    rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     fine = F.coalesce(F.col("vec_id").isNotNull() & finite, F.lit(False))
     keyed = rows.withColumn("key", F.when(fine, F.unhex(F.sha2(F.col("v").cast("string"), 256))))

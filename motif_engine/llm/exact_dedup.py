@@ -25,8 +25,9 @@ WHITE = "[\\x20\\x09-\\x0D]+"
 FILTER_BITS = 1 << 26
 #: Rows of one group that are verified in one salt.
 SALT_ROWS = 2048
-#: A group with over this share (1/HOT) of all rows is hot; there are fewer than HOT of these.
-HOT = 512
+#: A group of over HOT rows is hot; hot groups hold MOST_HOT entries at most, by a larger HOT for more rows than HOT * MOST_HOT.
+HOT = 4096
+MOST_HOT = 100_000
 _BITS_A_BITMAP = 32768
 
 
@@ -106,13 +107,13 @@ def _indexed(rows: DataFrame) -> DigestIndex:
 def _looked_up(index: DigestIndex, maybe: DataFrame) -> DataFrame:
     """A table of the rows that may be hits, with keep and n from the index (null for those that aren't).
 
-    At most HOT groups can hold over 1/HOT of all rows each; these are broadcast, so that their rows
-    don't meet in one task. The others are joined by digest.
+    Hot groups, MOST_HOT at most, are broadcast, so that their rows don't meet in one task. The others are joined by digest.
     """
     total = index.level.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT, total // MOST_HOT)
     hits = index.hits().select("digest", F.col("ident").getField("id").alias("keep"), "n")
-    hot = hits.filter(F.col("n") > max(1, total // HOT)).withColumn("hot", F.lit(True))
-    cold = hits.filter(F.col("n") <= max(1, total // HOT))
+    hot = hits.filter(F.col("n") > most).withColumn("hot", F.lit(True))
+    cold = hits.filter(F.col("n") <= most)
     by_hot = maybe.join(F.broadcast(hot), "digest", "left")
     rest = by_hot.filter("hot is null").drop("keep", "n", "hot").join(cold, "digest", "left")
     found = by_hot.filter("hot").drop("hot").unionByName(rest)

@@ -7,12 +7,13 @@ water-filling at each node with the capacities summed from below. A leaf takes w
 of the next epoch, in that epoch's seeded order, the longest prefix within its remaining tokens.
 
 The tree is small rows; documents are never ordered globally. For a leaf's prefix, tokens are summed by the first
-HEX digits of the order key, so that only the one boundary bucket of each leaf is ordered; the resulting cut key
-is joined back to the documents. Sums are whole numbers, so the result doesn't depend on partitioning.
+HEX or more digits of the order key, as many as leave about BUCKET_DOCS documents to a bucket, first for HEX digits and
+then, within the bucket that the prefix ends in, for all of them; only the one boundary bucket of each leaf is
+ordered, and the resulting cut key is joined back to the documents. Sums are whole numbers, so the result doesn't depend on partitioning.
 
 Edge cases: null and empty texts have no tokens and belong to every prefix; null languages, sources or domains
 are nodes of their own; rows of one doc_id share an order key and stand or fall together; unnamed nodes weigh 1,
-those of weight 0 get nothing; an empty table or budget 0 gives an empty result; other columns pass as they are.
+those of weight 0 get nothing, and neither they nor what hangs below them count as capacity; an empty table or budget 0 gives an empty result; other columns pass as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import OWN, table, whole_text
 
 TOKEN = "[^\\x20\\x09-\\x0D]+"
+#: Digits of the order key that make a bucket, and the most documents of a leaf for so many; beyond, a leaf has more buckets.
 HEX = 3
+MOST_HEX = 7
+BUCKET_DOCS = 1024
 LEVELS = ("domain", "lang", "source")
 #: More leaves than this are joined by shuffle instead of broadcast.
 BROADCAST_LEAVES = 100_000
@@ -57,12 +61,17 @@ def _weight(level: str, mixture: Mixture) -> Column:
     if not named:
         return F.lit(1)
     pairs = [F.lit(x) for kv in sorted(named.items()) for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(level)), F.lit(1))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), _value(level)), F.lit(1))
+
+
+def _value(level: str) -> Column:
+    """What a node's name stands for."""
+    return F.when(F.col(level).startswith("="), F.expr(f"substring({level}, 2)"))
 
 
 def _filled(nodes: DataFrame, parent: list[str], child: str, mixture: Mixture) -> DataFrame:
     """Splits budget (of the parent) among children with capacity; sets budget to the child's own."""
-    nodes = nodes.withColumn("w", _weight(child, mixture)).filter("w > 0")
+    nodes = nodes.withColumn("w", _weight(child, mixture))
     by = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(0))
     order = by.orderBy(F.col("capacity") / F.col("w"), child)
     before = F.coalesce(F.sum("capacity").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -77,6 +86,8 @@ def budgets(supply: DataFrame, mixture: Mixture) -> DataFrame:
     """supply (domain, lang, source, tokens) to the same and budget."""
     total = supply.agg(F.sum("tokens")).first()[0] or 0
     leaves = supply.withColumn("capacity", F.col("tokens") * mixture.epochs)
+    for level in LEVELS:  # what can't be taken is no capacity of any node above it
+        leaves = leaves.filter(_weight(level, mixture) > 0)
     budget = None
     for i, level in enumerate(LEVELS):
         names = list(LEVELS[: i + 1])
@@ -93,6 +104,14 @@ def order_key(ident: Column, seed: str, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(ident.cast("string"), F.lit("null"))))
 
 
+def _edge(keyed: DataFrame, bucket: str) -> DataFrame:
+    """Of each leaf the bucket that its prefix ends in: the tokens before it, and its documents."""
+    sums = keyed.groupBy(*LEVELS, bucket).agg(F.sum("tokens").alias("t"), F.max("rest").alias("rest"), F.max("before").alias("outer"), F.count(F.lit(1)).alias("n"))
+    upto = F.col("outer") + F.sum("t").over(W.partitionBy(*LEVELS).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0))
+    edge = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("t"))
+    return edge.filter((F.col("upto") > F.col("rest")) & (F.col("before") <= F.col("rest")))
+
+
 def cuts(rows: DataFrame, mixture: Mixture) -> DataFrame:
     """rows (domain, lang, source, doc_id, tokens) to each leaf's whole epochs and the cut key of the next one."""
     supply = table(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "supply")
@@ -102,21 +121,23 @@ def cuts(rows: DataFrame, mixture: Mixture) -> DataFrame:
     plan = table(plan.select(*LEVELS, "whole", "rest", "budget"), "budgets")
     partly = plan.filter("rest > 0")
     keyed = rows.join(partly, list(LEVELS)).withColumn("key", order_key(F.col("doc_id"), mixture.seed, F.col("whole")))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, HEX))
+    coarse = _edge(keyed.withColumn("bucket", F.substring("key", 1, HEX)).withColumn("before", F.lit(0).cast("long")), "bucket")
+    digits = F.least(F.lit(MOST_HEX), F.lit(HEX) + F.ceil(F.greatest(F.log(16.0, F.col("n") / BUCKET_DOCS), F.lit(0.0)))).cast("int")
+    coarse = coarse.select(*LEVELS, "bucket", "before", digits.alias("digits"))
+    inner = keyed.withColumn("bucket", F.substring("key", 1, HEX)).join(coarse, [*LEVELS, "bucket"]).withColumn("bucket", F.expr("substring(key, 1, digits)"))
+    fine = _edge(inner, "bucket").select(*LEVELS, "bucket", "before")
+    inner = inner.drop("before").join(fine, [*LEVELS, "bucket"])
     leaf = W.partitionBy(*LEVELS)
-    sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("t"), F.max("rest").alias("rest"))
-    sums = sums.withColumn("upto", F.sum("t").over(leaf.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
-    edge = sums.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("t") <= F.col("rest")))
-    edge = edge.select(*LEVELS, "bucket", (F.col("upto") - F.col("t")).alias("before"))
-    inner = keyed.join(edge, [*LEVELS, "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(leaf.orderBy("key").rangeBetween(W.unboundedPreceding, 0)))
+    inner = inner.withColumn("upto", F.col("before") + F.sum("tokens").over(leaf.orderBy("key").rangeBetween(W.unboundedPreceding, 0)))
     found = inner.groupBy(*LEVELS).agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("key"))).alias("last"), F.max("bucket").alias("bucket"))
     found = found.select(*LEVELS, F.coalesce("last", "bucket").alias("cut"))
     return table(plan.join(found, list(LEVELS), "left").select(*LEVELS, "whole", "cut", "budget"), "cuts")
 
 
 def _named(docs: DataFrame, domain: Column) -> DataFrame:
+    """docs with the nodes' names: '=' and the value, or 'null'."""
     text = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
-    return docs.withColumns({k: F.coalesce(v.cast("string"), F.lit("null")) for k, v in text.items()})
+    return docs.withColumns({k: F.coalesce(F.concat(F.lit("="), v.cast("string")), F.lit("null")) for k, v in text.items()})
 
 
 def _taken(rows: DataFrame, plan: DataFrame, mixture: Mixture) -> DataFrame:
@@ -148,7 +169,8 @@ def mix(docs: DataFrame, mixture: Mixture = DEFAULT, domain: Column | None = Non
 def mixture_rows(docs: DataFrame, mixture: Mixture = DEFAULT, domain: Column | None = None) -> DataFrame:
     """doc_id, domain, lang, source, tokens, epoch of the chosen documents."""
     rows = measured(docs, default_domain(F.col("source")) if domain is None else domain)
-    return _taken(rows, cuts(rows, mixture), mixture).select("doc_id", *LEVELS, "tokens", "epoch")
+    out = _taken(rows, cuts(rows, mixture), mixture)
+    return out.select("doc_id", *[_value(x).alias(x) for x in LEVELS], "tokens", "epoch")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +182,7 @@ def _level_sql(i: int) -> str:
     names, parent = LEVELS[: i + 1], LEVELS[:i]
     by = f"PARTITION BY {', '.join(parent)}" if parent else ""
     named = DEFAULT.weights.get(LEVELS[i], {})
-    weight = f"CASE {LEVELS[i]} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in sorted(named.items()))} ELSE 1 END" if named else "1"
+    weight = f"CASE {LEVELS[i]} {' '.join(f"WHEN '={k}' THEN {v}" for k, v in sorted(named.items()))} ELSE 1 END" if named else "1"
     above = "(SELECT CAST(floor(sum(tokens) * 0.6::DOUBLE) AS BIGINT) FROM supply)" if not i else "p.budget"
     source = f"FROM supply GROUP BY {', '.join(names)}"
     join = "n" if not i else f"n JOIN b{i - 1} p USING ({', '.join(parent)})"
@@ -172,12 +194,12 @@ def _level_sql(i: int) -> str:
     b{i} AS (SELECT {", ".join(names)}, CAST(greatest(CASE WHEN capacity <= lv * w THEN capacity ELSE floor(lv * w) END, 0) AS BIGINT) AS budget FROM m{i})"""
 
 
-SQL = f"""WITH r AS (SELECT doc_id, 'd' || CAST(coalesce(TRY_CAST(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INT) % 4, 4) AS VARCHAR) AS domain,
-      coalesce(lang, 'null') AS lang, coalesce(source, 'null') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents),
+SQL = f"""WITH r AS (SELECT doc_id, '=d' || CAST(coalesce(TRY_CAST(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INT) % 4, 4) AS VARCHAR) AS domain,
+      coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents),
     supply AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY domain, lang, source),
     {_level_sql(0)}, {_level_sql(1)}, {_level_sql(2)},
     q AS (SELECT s.*, budget, CASE WHEN s.tokens > 0 THEN budget // s.tokens ELSE 1 END AS whole FROM supply s JOIN b2 USING (domain, lang, source)),
     k AS (SELECT r.*, whole, budget - whole * q.tokens AS rest, md5('{DEFAULT.seed}:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM r JOIN q USING (domain, lang, source)),
     c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM k),
     t AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n FROM c)
-    SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(n)) AS INT) AS epoch FROM t WHERE n > 0"""
+    SELECT doc_id, substr(domain, 2) AS domain, CASE WHEN lang <> 'null' THEN substr(lang, 2) END AS lang, CASE WHEN source <> 'null' THEN substr(source, 2) END AS source, tokens, CAST(unnest(range(n)) AS INT) AS epoch FROM t WHERE n > 0"""

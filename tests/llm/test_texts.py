@@ -172,6 +172,73 @@ def test_toxicity(spark):
     assert X.drop_toxic(docs, nothing).count() == docs.count() and X.learned(docs.limit(0), labels).scores(["vilefoo"])[0] < 0.5
 
 
+@pytest.mark.parametrize("prior", [0.02, 0.2, 0.6])
+def test_fit_against_a_plain_risk_minimiser(prior):
+    """The same risk, written out densely and followed by plain gradients, has no lower value than the fitted one."""
+    rng = np.random.default_rng(1)
+    toxic = np.arange(300) < 60
+    x = (rng.random((300, 5)) < np.where(toxic[:, None], [0.9, 0.5, 0.3, 0.2, 0.1], [0.1, 0.1, 0.1, 0.2, 0.3])).astype(bool)
+
+    def parts(w):
+        z = x @ w[:-1] + w[-1]
+        plus, minus = np.logaddexp(0, -z), np.logaddexp(0, z)
+        return prior * plus[toxic].mean(), minus[~toxic].mean() - prior * minus[toxic].mean()
+
+    def risk(w):
+        a, b = parts(w)
+        return a + max(0.0, b) + 0.5 * X._DECAY * prior * (w[:-1] ** 2).sum()
+
+    w = np.zeros(6)
+    for t in range(4000):
+        step, g = 1e-5, np.zeros(6)
+        a, b = parts(w)
+        for k in range(6):
+            e = np.eye(6)[k] * step
+            up, down = parts(w + e), parts(w - e)
+            g[k] = ((up[0] - down[0]) + (up[1] - down[1])) / (2 * step) if b >= 0 else -(up[1] - down[1]) / (2 * step)
+        g[:-1] += X._DECAY * w[:-1] * prior
+        w = w - 0.5 * g / (1 + t / 1000)
+    fitted, bias = X.fit(x, toxic, prior)
+    got = np.append(fitted, bias)
+    assert risk(got) <= risk(w) + 0.01 and parts(got)[1] > -0.02
+    assert ((x @ fitted + bias > 0) == (x @ w[:-1] + w[-1] > 0)).mean() > 0.97
+
+
+def test_counts_are_over_all_training_rows(spark, monkeypatch):
+    """A word of few toxic texts is learned though the classifier's sample is small, and numbers of texts are exact."""
+    docs, labels = toxic_docs(spark)
+    monkeypatch.setattr(X, "POSITIVES", 20)
+    monkeypatch.setattr(X, "UNLABELLED", 60)
+    model = X.learned(docs, labels)
+    toxic = {r.doc_id for r in labels.filter("toxic = 1").collect() if r.doc_id is not None}
+    texts = {r.doc_id: r.text for r in docs.filter(X.fold("doc_id", 5) != 0).collect()}
+    n = {r.k: r.n for r in X._occurrences(docs.filter(X.fold("doc_id", 5) != 0), X.Model(model.hashes.view(np.int64))).collect()}
+    row, k = X.Model(model.hashes.view(np.int64)).present(list(texts.values()))
+    assert n == {int(j): int((k == j).sum()) for j in np.unique(k)} and toxic & set(texts)
+    ((_, at, h),) = X.features(["vilefoo"])
+    assert h[0] in set(model.hashes.tolist())
+
+
+def test_prediction_against_plain_nearest_centroids(spark):
+    docs = lang_docs(spark)
+    model = L.train(docs)
+    texts = [r.text for r in docs.collect()] + ["the schön et of", "xyz qqq", "avec dans über", "", None]
+    lang, score, rejected = model.predict(texts)
+    for i, t in enumerate(texts):
+        counts = L.gram_counts([t])[0].astype(float)
+        if not counts.any():
+            assert (lang[i], score[i], rejected[i]) == ("und", 0, True)
+            continue
+        v = np.log1p(counts) * model.idf
+        v /= np.linalg.norm(v)
+        cosines = [(float(v @ c), x, f) for c, x, f in zip(model.centroids.astype(float), model.langs, model.far, strict=True)]
+        best = {x: max(c for c, y, _ in cosines if y == x) for x in set(model.langs)}
+        top = max(cosines)
+        share = 1 / sum(np.exp((b - max(best.values())) / L.TEMPERATURE) for b in best.values())
+        far = 1 - top[0] > top[2] + 1e-6
+        assert lang[i] == max(sorted(best), key=best.get) and rejected[i] == far and abs(score[i] - (share / 2 if far else share)) < 1e-4
+
+
 def test_the_risk_stays_above_zero():
     rng = np.random.default_rng(0)
     toxic = np.arange(400) < 100
@@ -334,10 +401,12 @@ def brute_mix(rows, m):
     tree = {}
     for r in rows:
         number = re.search("([0-9]{1,9})$", r.source or "")
-        leaf = (f"d{int(number[1]) % 4 if number else 4}", r.lang or "null", r.source or "null")
+        leaf = (f"d{int(number[1]) % 4 if number else 4}", r.lang, r.source)
         tree.setdefault(leaf, []).append((r.doc_id, len((r.text or "").split())))
     supply = {k: sum(n for _, n in v) for k, v in tree.items()}
     budgets = {(): int(sum(supply.values()) * m.share)}
+    tree = {k: v for k, v in tree.items() if all(m.weights.get(level, {}).get(x, 1) for level, x in zip(M.LEVELS, k, strict=True))}
+    supply = {k: supply[k] for k in tree}
     for depth in range(3):
         for node in [k for k in budgets if len(k) == depth]:
             caps = {}
@@ -360,9 +429,13 @@ def brute_mix(rows, m):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("m", [M.DEFAULT, M.Mixture(share=1.7, epochs=3), M.Mixture(share=0.0), M.Mixture(share=5.0, epochs=2, weights={"lang": {"de": 5}})])
-def test_mixing(spark, m):
+@pytest.mark.parametrize("m", [M.DEFAULT, M.Mixture(share=1.7, epochs=3), M.Mixture(share=0.0), M.Mixture(share=5.0, epochs=2, weights={"lang": {"de": 5}}), M.Mixture(share=0.9, weights={"lang": {"en": 0}, "source": {"src1": 0, "src2": 7}}), M.Mixture(share=1.0, weights={"domain": {"d1": 0}})])
+@pytest.mark.parametrize("bucket", [1024, 2])
+def test_mixing(spark, monkeypatch, m, bucket):
+    """Also with nodes of weight 0, whose capacity counts nowhere, and with finer buckets."""
+    monkeypatch.setattr(M, "BUCKET_DOCS", bucket)
     docs = mix_docs(spark)
+    docs = docs.unionByName(docs.limit(1).selectExpr("1000L as doc_id", "'a b c d' as text", "'null' as lang", "'null' as source", "1 as tokens", "2 as epoch"))
     got = sorted(((r.doc_id, r.epoch) for r in M.mixture_rows(docs, m).collect()), key=str)
     assert got == brute_mix(docs.collect(), m)
 
