@@ -23,11 +23,11 @@ def open_corpus(spark: SparkSession, at: str) -> Corpus:
     """kind:path, where kind is solos (SQLite), xml (MusicXML glob), file (JSON or MIDI) or events (driver tables)."""
     kind, _, path = at.partition(":")
     if kind == "solos":
-        return Corpus("solos", *sqlite.read_solo_database(spark, path))
+        return sqlite.solo_corpus(spark, path)
     if kind == "xml":
         return Corpus("xml", *files.read_musicxml(spark, path))
     if kind == "events":
-        return Corpus("events", events.notes(spark, path), events.metadata(spark, path))
+        return events.corpus(spark, path)
     if kind == "file":
         notes = files.read_transcription(spark, path)
         meta = notes.select("melid").distinct().select("melid", F.col("melid").alias("title"), F.lit("Unknown").alias("performer"), F.lit(None).cast("int").alias("year"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,15 +17,23 @@ class Corpus:
     name: str
     notes: DataFrame
     metadata: DataFrame
+    #: (notes, metadata) of one solo, read by its key; without it, all are filtered by name.
+    lookup: Callable[[str], tuple[DataFrame, DataFrame]] | None = None
+
+    def _only(self, melid: str) -> Corpus:
+        if self.lookup:
+            return Corpus(self.name, *self.lookup(melid))
+        return Corpus(self.name, self.notes.filter(F.col("melid") == melid), self.metadata.filter(F.col("melid") == melid))
 
     def solos(self) -> DataFrame:
         """One row per solo: metadata and an array of notes."""
         return self.metadata.join(to_solos(self.notes), "melid")
 
     def get(self, melid: str) -> DataFrame:
-        return Corpus(self.name, self.notes.filter(F.col("melid") == melid), self.metadata.filter(F.col("melid") == melid)).solos()
+        return self._only(melid).solos()
 
     def __len__(self) -> int:
+        """All solos that the corpus names, also those without enough notes to be iterated."""
         return self.metadata.count()
 
     def total_notes(self) -> int:
@@ -39,7 +48,8 @@ class Corpus:
 
     def search_solo(self, melid: str, pattern: list[int], **options: object) -> DataFrame:
         request = search.SearchRequest(pattern, databases=(self.name,), **options)
-        return search.search_notes(self.notes.filter(F.col("melid") == melid), request, self.metadata)
+        one = self._only(melid)
+        return search.search_notes(one.notes, request, one.metadata)
 
     def features(self, config: features.MachineConfig = features.BASIC) -> DataFrame:
         return features.extract(self.notes, config)

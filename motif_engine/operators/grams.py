@@ -40,6 +40,20 @@ def grams(notes: DataFrame, n: int, name: str = "interval") -> DataFrame:
     return out.select("melid", "pos", "onset_beat", F.array(*values).alias("values"), encoded(values).alias("enc"))
 
 
+def grams_of_sizes(notes: DataFrame, sizes: list[int], name: str = "interval") -> DataFrame:
+    """The grams of several sizes from one pass over the windows; columns as of grams()."""
+    if min(sizes) < 2:
+        raise ValueError("n is at least 2")
+    w = W.partitionBy("melid").orderBy("onset_beat", "note_idx")
+    t = transformed(notes, name)
+    longest = max(sizes)
+    t = t.select("melid", "pos", "onset_beat", *[(F.lead("v", i).over(w) if i else F.col("v")).alias(f"v{i}") for i in range(longest)])
+    values = [F.col(f"v{i}") for i in range(longest)]
+    each = [F.when(values[n - 1].isNotNull(), F.struct(F.array(*values[:n]).alias("values"), encoded(values[:n]).alias("enc"))) for n in sorted(sizes)]
+    out = t.select("melid", "pos", "onset_beat", F.explode(F.array_compact(F.array(*each))).alias("g"))
+    return out.select("melid", "pos", "onset_beat", "g.values", "g.enc")
+
+
 def encoded(values: list[Column]) -> Column:
     return F.concat(*[F.char(v + OFFSET) for v in values])
 

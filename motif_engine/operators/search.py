@@ -94,10 +94,7 @@ def search_notes(notes: DataFrame, request: SearchRequest, metadata: DataFrame |
     """Searches notes. expand_lengths also builds grams that are shorter or longer by max_length_difference."""
     request.validate()
     n, d = len(request.pattern), request.max_length_difference if expand_lengths else 0
-    sizes = range(max(2, n - d), n + d + 1)
-    g = G.grams(notes, sizes[0], request.transformation)
-    for k in sizes[1:]:
-        g = g.unionByName(G.grams(notes, k, request.transformation))
+    g = G.grams_of_sizes(notes, list(range(max(2, n - d), n + d + 1)), request.transformation) if d else G.grams(notes, n, request.transformation)
     found = search_grams(
         g, request.pattern, request.min_similarity, request.max_length_difference, request.max_edit_distance, request.min_frequency,
         request.limit if limit else None,
@@ -108,15 +105,18 @@ def search_notes(notes: DataFrame, request: SearchRequest, metadata: DataFrame |
 def search_batch(g: DataFrame, patterns: dict[str, list[int]], min_similarity: float) -> DataFrame:
     """Many patterns against grams of their lengths: query, melid, pos, onset_beat, edit_distance, similarity.
 
-    The patterns are expanded next to each gram, so that the grams are read once and nothing is shuffled.
+    The patterns are expanded next to each distinct gram of their lengths only; what is alike is joined back to the grams.
     """
     if not 0 < len(patterns) <= BATCH:
         raise ValueError(f"1 to {BATCH} patterns a batch")
     each = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(G.encode(p)).alias("p"), F.lit(len(p)).alias("n")) for q, p in sorted(patterns.items())])
-    rows = g.withColumn("q", F.explode(each)).filter(F.size("values") == F.col("q.n"))
-    rows = rows.withColumn("edit_distance", F.levenshtein("enc", F.col("q.p")))
-    rows = rows.withColumn("similarity", similarity(F.col("edit_distance"), F.col("q.n"))).filter(F.col("similarity") >= min_similarity)
-    return rows.select("q.query", "melid", "pos", "onset_beat", "edit_distance", "similarity")
+    lengths = sorted({len(p) for p in patterns.values()})
+    distinct = g.filter(F.size("values").isin(lengths)).select("enc").distinct()
+    fitting = F.filter(each, lambda q: q["n"] == F.length("enc"))
+    alike = distinct.withColumn("q", F.explode(fitting)).withColumn("edit_distance", F.levenshtein("enc", F.col("q.p")))
+    alike = alike.withColumn("similarity", similarity(F.col("edit_distance"), F.col("q.n"))).filter(F.col("similarity") >= min_similarity)
+    rows = g.select("melid", "pos", "onset_beat", "enc").join(alike.select("enc", "q.query", "edit_distance", "similarity"), "enc")
+    return rows.select("query", "melid", "pos", "onset_beat", "edit_distance", "similarity")
 
 
 @dataclass
@@ -151,8 +151,8 @@ def search_databases(sources: dict[str, Callable[[], tuple[DataFrame, DataFrame]
         try:
             notes, metadata = sources[name]()
             rows = search_notes(notes, request, metadata)
-            rows.isEmpty()  # what fails, fails here
-            found.append((name, rows))
+            # run once, and here, so that what fails leaves an error; a search has at most limit rows, 500
+            found.append((name, notes.sparkSession.createDataFrame(rows.collect(), rows.schema)))
         except Exception as e:  # a failing database must not hide the others' results
             errors[name] = f"{type(e).__name__}: {e}"
     return MergedSearch(merge(found, request.limit) if found else None, errors)

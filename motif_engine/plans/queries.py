@@ -190,8 +190,7 @@ def search_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_with(f"{_G3}, m AS ({_matched(_SIMILAR)}) SELECT {_OUT} FROM m WHERE similarity >= 0.5 AND melid = 'ev-15'"))
 def search_solo(spark: SparkSession, sf: str) -> DataFrame:
-    notes = events.notes(spark, sf).filter(F.col("melid") == "ev-15")
-    return _found(S.search_grams(G.grams(notes, 3), _SIMILAR, 0.5))
+    return _found(events.corpus(spark, sf).search_solo("ev-15", _SIMILAR, min_similarity=0.5, limit=500))
 
 
 @query(_with(f"{_G3}, m AS ({_matched(_SIMILAR)}) SELECT melid, count(*) AS n_matches, max(similarity) AS best FROM m WHERE similarity >= 0.6 GROUP BY melid"))
@@ -200,22 +199,22 @@ def search_per_solo_counts(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("melid").agg(F.count(F.lit(1)).alias("n_matches"), F.max("similarity").alias("best"))
 
 
-def _corpus_sql(name: str, where: str) -> str:
-    return f"(SELECT '{name}' AS database, * FROM (SELECT m.*, meta.year, meta.c_custkey FROM m JOIN meta ON m.melid = meta.melid WHERE similarity >= 0.5 AND {where} ORDER BY similarity DESC, m.melid, pos LIMIT 60))"
+def _corpus_sql(name: str, of: str) -> str:
+    return f"(SELECT '{name}' AS database, * FROM (SELECT m.*, meta.year FROM ({of}) AS m LEFT JOIN meta ON m.melid = meta.melid ORDER BY similarity DESC, m.melid, pos LIMIT 60))"
 
 
 @query(
     _with(
-        f"""{_G3}, m AS ({_matched(_SIMILAR)}), u AS ({_corpus_sql("even", "c_custkey % 2 = 0")} UNION ALL {_corpus_sql("third", "c_custkey % 3 = 0")}),
+        f"""{_G3}, m AS ({_matched(_SIMILAR)}), f AS (SELECT * FROM m WHERE similarity >= 0.5),
+        u AS ({_corpus_sql("first", "SELECT * FROM f")} UNION ALL {_corpus_sql("second", "SELECT * FROM f")}),
         r AS (SELECT *, row_number() OVER (PARTITION BY database, melid ORDER BY similarity DESC, pos) AS k FROM u)
         SELECT database, {_OUT}, year FROM (SELECT * FROM r WHERE k = 1 ORDER BY similarity DESC, edit_distance, coalesce(year, 0), database, melid LIMIT 60) AS r"""
     )
 )
 def search_multi_corpus_dedup(spark: SparkSession, sf: str) -> DataFrame:
     notes, meta = events.notes(spark, sf), events.metadata(spark, sf)
-    user = F.substring("melid", 4, 20).cast("long")
-    request = S.SearchRequest(_SIMILAR, ("even", "third"), min_similarity=0.5, limit=60)
-    found = S.search_databases({"even": lambda: (notes.filter(user % 2 == 0), meta), "third": lambda: (notes.filter(user % 3 == 0), meta)}, request)
+    request = S.SearchRequest(_SIMILAR, ("first", "second", "missing"), min_similarity=0.5, limit=60)
+    found = S.search_databases({"first": lambda: (notes, meta), "second": lambda: (notes, meta)}, request)
     return _found(found.matches.withColumn("year", F.col("year").cast("int")), "database", "year")
 
 

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 START = "2024-01-01 00:00:00"
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """melid, note_idx, pitch (null: a rest), onset_beat, duration_beats, velocity."""
+def _key(melid: str) -> int | None:
+    """The user of a solo; None for a name that no solo has."""
+    digits = melid.removeprefix("ev-")
+    return int(digits) if melid == f"ev-{digits}" and digits.isascii() and digits.isdigit() else None
+
+
+def notes(spark: SparkSession, sf_dir: str, melid: str | None = None) -> DataFrame:
+    """melid, note_idx, pitch (null: a rest), onset_beat, duration_beats, velocity; of one solo, the scan reads its user only."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if melid is not None:
+        e = e.filter(F.col("user_id") == F.lit(_key(melid)))
     k = F.get_json_object("props", "$.k").cast("int")
     micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{START}', cast(ts as timestamp_ntz))")
     return e.select(
@@ -24,9 +32,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metadata(spark: SparkSession, sf_dir: str, melid: str | None = None) -> DataFrame:
     """melid, performer, title, style, year: the customer and nation of each user."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+    if melid is not None:
+        c = c.filter(F.col("c_custkey") == F.lit(_key(melid)))
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         F.concat(F.lit("ev-"), F.col("c_custkey").cast("string")).alias("melid"),
@@ -35,3 +45,10 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("style"),
         (F.lit(1950) + F.pmod("c_custkey", F.lit(50))).cast("int").alias("year"),
     )
+
+
+def corpus(spark: SparkSession, sf_dir: str):
+    """The view as a corpus whose lookups read one user's rows."""
+    from motif_engine.corpus import Corpus
+
+    return Corpus("events", notes(spark, sf_dir), metadata(spark, sf_dir), lambda m: (notes(spark, sf_dir, m), metadata(spark, sf_dir, m)))

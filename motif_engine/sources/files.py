@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from motif_engine.operators.sequence import from_start, solo_start
-from motif_engine.schema import NOTES, CorpusError
+from motif_engine.schema import NOTES, CorpusError, validate_notes
 
 _JSON = "notes array<struct<pitch:int,onset_beat:double,duration_beats:double,velocity:int>>, tempo_bpm double, time_signature array<int>, key_signature string"
 
@@ -50,9 +50,12 @@ def parse_musicxml(content: bytes) -> list[tuple[float, float, int]] | None:
     A measure is four beats. Chord symbols are no notes; of notes that sound together the highest counts.
     """
     try:
-        root = ET.parse(io.BytesIO(content)).getroot()
-    except (ET.ParseError, ValueError):
+        return _musicxml_notes(ET.parse(io.BytesIO(content)).getroot())
+    except (ET.ParseError, ValueError, AttributeError, KeyError, TypeError, ZeroDivisionError):  # not XML, or a note without what a note needs
         return None
+
+
+def _musicxml_notes(root: ET.Element) -> list[tuple[float, float, int]] | None:
     parts = [e for e in root.iter() if e.tag.rpartition("}")[2] == "part"]
     if not parts:
         return None
@@ -104,9 +107,12 @@ def _note_files(spark: SparkSession, path: str, parse) -> DataFrame:
     return files.mapInPandas(rows, NOTES)
 
 
-def read_musicxml(spark: SparkSession, path: str, trim: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(notes, metadata) of a folder or glob of MusicXML files; trim drops what stands before the solo's start."""
-    notes = _note_files(spark, path, parse_musicxml)
+def read_musicxml(spark: SparkSession, path: str, trim: bool = True, bad_notes: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """(notes, metadata) of a folder or glob of MusicXML files; trim drops what stands before the solo's start.
+
+    Files that can't be read are skipped; bad_notes is validate_notes' mode.
+    """
+    notes = validate_notes(_note_files(spark, path, parse_musicxml), bad_notes)
     if trim:
         notes = from_start(notes, solo_start(notes))
     meta = notes.select("melid").distinct().select(
@@ -168,8 +174,19 @@ def read_midi(spark: SparkSession, path: str) -> DataFrame:
     return _note_files(spark, path, parse_midi)
 
 
+def _pcm(raw: bytes, width: int) -> np.ndarray:
+    """Samples of 1 (unsigned), 2, 3 or 4 bytes as -1..1."""
+    if width == 1:
+        return np.frombuffer(raw, np.uint8) / 128.0 - 1.0
+    if width == 3:
+        padded = np.zeros((len(raw) // 3, 4), np.uint8)
+        padded[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        return padded.view("<i4")[:, 0] / 2.0**31
+    return np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
+
+
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """One row per PCM file of 16 bits: melid, rate, samples (mono, -1..1); files of another kind have null samples."""
+    """One row per PCM file: melid, rate, samples (mono, -1..1); files of another kind have null samples."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -178,9 +195,8 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     with wave.open(io.BytesIO(content)) as w:
                         rate = w.getframerate()
-                        if w.getsampwidth() == 2:
-                            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
-                            samples = (x.mean(axis=1) / 32768.0).astype(np.float32)
+                        x = _pcm(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels())
+                        samples = x.mean(axis=1).astype(np.float32)
                 except (wave.Error, EOFError):
                     pass
                 yield pd.DataFrame({"melid": [melid], "rate": pd.array([rate], "Int32"), "samples": [samples]})
@@ -231,8 +247,12 @@ def default_edit_cap(n: int, min_similarity: float) -> int:
     return max(1, n - int(n * min_similarity))
 
 
-def data_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """name, present, file_count, size_bytes, is_sqlite, sha256 (of a single file) for each data file or folder glob."""
+def data_status(spark: SparkSession, paths: dict[str, str], expected: dict[str, str] | None = None) -> DataFrame:
+    """name, present, file_count, size_bytes, is_sqlite, sha256 (of a single file) for each data file or folder glob.
+
+    verified: whether the file has the expected SHA-256 (hex, by name); null where none is expected.
+    """
+    expected = expected or {}
     out = None
     for name, path in sorted(paths.items()):
         try:
@@ -245,7 +265,9 @@ def data_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"),
             F.coalesce(F.bool_and(F.substring("content", 1, 15) == F.lit(b"SQLite format 3")), F.lit(False)).alias("is_sqlite"),
             F.when(F.count(F.lit(1)) == 1, F.first(F.sha2("content", 256))).alias("sha256"),
-        ).select(F.lit(name).alias("name"), (F.col("file_count") > 0).alias("present"), "*")
+        )
+        verified = F.coalesce(F.col("sha256") == expected[name].lower(), F.lit(False)) if name in expected else F.lit(None).cast("boolean")
+        one = one.select(F.lit(name).alias("name"), (F.col("file_count") > 0).alias("present"), "*", verified.alias("verified"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -10,12 +10,13 @@ import sqlite3
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from motif_engine.functions.transforms import time_signature
-from motif_engine.schema import CorpusError
+from motif_engine.schema import CorpusError, validate_notes
 
 _OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
@@ -107,9 +108,16 @@ def instrument(code) -> F.Column:
 
 
 def solos_from_tables(solo_info: DataFrame, melody: DataFrame, composition_info: DataFrame, record_info: DataFrame, corpus: str = "wjazzd") -> tuple[DataFrame, DataFrame]:
-    """(notes, metadata): notes in beats at the solo's average tempo; solos with fewer than four pitched notes are dropped."""
-    comp = composition_info.dropDuplicates(["compid"]).select("compid", "composer", "form")
-    rec = record_info.dropDuplicates(["recordid"]).select("recordid", "artist", "recordtitle", "releasedate")
+    """(notes, metadata): notes in beats at the solo's average tempo, of solos with four pitched notes or more; metadata of all solos.
+
+    Of several rows of one composition or record the one that sorts first counts.
+    """
+
+    def first(df: DataFrame, key: str, *columns: str) -> DataFrame:
+        return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("row")).select(key, "row.*")
+
+    comp = first(composition_info, "compid", "composer", "form")
+    rec = first(record_info, "recordid", "artist", "recordtitle", "releasedate")
     s = solo_info.join(comp, "compid", "left").join(rec, "recordid", "left")
     tempo = F.col("avgtempo").cast("double")
     bpm = F.when(tempo > 0, tempo).otherwise(F.lit(120.0))
@@ -117,7 +125,7 @@ def solos_from_tables(solo_info: DataFrame, melody: DataFrame, composition_info:
     year = F.substring("releasedate", 1, 4).try_cast("int")
     melid = F.concat(F.lit(f"{corpus}-"), F.col("melid").cast("string"))
     title = F.when(F.length("title") > 0, F.trim(F.concat_ws(" ", "title", "titleaddon"))).otherwise("Unknown")
-    extra = {"wjazzd_melid": "melid", "composer": "composer", "form": "form", "chorus_count": "chorus_count", "tempoclass": "tempoclass"}
+    extra = {"source_melid": "melid", "composer": "composer", "form": "form", "chorus_count": "chorus_count", "tempoclass": "tempoclass"}
     meta = s.select(
         F.col("melid").alias("solo_key"), melid.alias("melid"), title.alias("title"), F.coalesce(F.when(F.length("performer") > 0, F.col("performer")), F.lit("Unknown")).alias("performer"),
         year.alias("recording_year"), year.alias("track_year"), year.alias("year"), instrument(F.col("instrument")).alias("instrument"), F.col("key").alias("key"),
@@ -126,21 +134,36 @@ def solos_from_tables(solo_info: DataFrame, melody: DataFrame, composition_info:
     )
     m = melody.filter(F.col("pitch") > 0).select(F.col("melid").alias("solo_key"), "onset", "pitch", "duration")
     enough = m.groupBy("solo_key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4").select("solo_key")
-    meta = meta.join(enough, "solo_key", "left_semi")
     beat = F.lit(60.0) / F.col("bpm")
-    notes = m.join(meta.select("solo_key", "melid", "bpm"), "solo_key").select(
-        "melid", F.xxhash64("onset", "pitch", "duration").alias("note_idx"), F.rint("pitch").cast("int").alias("pitch"), (F.col("onset") / beat).alias("onset_beat"),
+    place = W.partitionBy("solo_key").orderBy("onset", "pitch", "duration")
+    notes = m.join(enough, "solo_key", "left_semi").join(meta.select("solo_key", "melid", "bpm"), "solo_key").select(
+        "melid", (F.row_number().over(place) - 1).cast("long").alias("note_idx"), F.rint("pitch").cast("int").alias("pitch"), (F.col("onset") / beat).alias("onset_beat"),
         (F.col("duration") / beat).alias("duration_beats"), F.lit(None).cast("int").alias("velocity"),
     )
     return notes, meta.drop("solo_key", "bpm")
 
 
-def read_solo_database(spark: SparkSession, path: str, partitions: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(notes, metadata) of a solo database file."""
+def read_solo_database(spark: SparkSession, path: str, partitions: int = 1, bad_notes: str = "raise", key: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(notes, metadata) of a solo database file, or of its solo with this key; bad_notes is validate_notes' mode."""
     import os
 
     if not os.path.exists(path):
         raise CorpusError(f"no database at {path}")
     parted = {"partitions": str(partitions), "partition_column": "melid"} if partitions > 1 else {}
     tables = {t: read_table(spark, path, t, **(parted if t == "melody" else {})) for t in ("solo_info", "melody", "composition_info", "record_info")}
-    return solos_from_tables(**tables)
+    if key is not None:  # both filters go into the file's own queries
+        tables |= {t: tables[t].filter(F.col("melid") == key) for t in ("solo_info", "melody")}
+    notes, meta = solos_from_tables(**tables)
+    return validate_notes(notes, bad_notes), meta
+
+
+def solo_corpus(spark: SparkSession, path: str, partitions: int = 1, corpus: str = "wjazzd"):
+    """The file as a corpus whose lookups read one solo's rows."""
+    from motif_engine.corpus import Corpus
+
+    def lookup(melid: str) -> tuple[DataFrame, DataFrame]:
+        digits = melid.removeprefix(f"{corpus}-")
+        known = digits.isascii() and digits.isdigit() and digits != melid
+        return read_solo_database(spark, path, key=int(digits) if known else -1)
+
+    return Corpus(corpus, *read_solo_database(spark, path, partitions), lookup)

@@ -4,7 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from motif_engine.schema import CorpusError
+from motif_engine.schema import NOTES, CorpusError, validate_notes
 from motif_engine.sources import files, sqlite
 from motif_engine.streaming.phrases import live_phrases
 
@@ -18,6 +18,8 @@ XML = """<score-partwise><part id="P1"><measure number="1"><note><pitch><step>C<
 def test_musicxml(spark, tmp_path):
     (tmp_path / "A_tune.xml").write_text(XML)
     (tmp_path / "bad.xml").write_text("<score")
+    for name, note in {"no_octave": "<pitch><step>C</step></pitch>", "no_step": "<pitch><octave>4</octave></pitch>", "bad_step": "<pitch><step>H</step><octave>4</octave></pitch>", "bad_octave": "<pitch><step>C</step><octave>x</octave></pitch>"}.items():
+        (tmp_path / f"{name}.xml").write_text(f"<s><part><measure number='1'><note>{note}<duration>1</duration></note></measure></part></s>")
     n, meta = files.read_musicxml(spark, f"{tmp_path}/*.xml", trim=False)
     assert [(r.melid, r.pitch, r.onset_beat, r.duration_beats) for r in n.orderBy("onset_beat").collect()] == [("A_tune", 64, 8.0, 1.0), ("A_tune", 66, 9.5, 1.5)]
     assert [r.title for r in meta.collect()] == ["A tune"]
@@ -39,6 +41,8 @@ def test_json(spark, tmp_path):
     r = files.read_json(spark, f"{tmp_path}/a.json").first()
     assert (r.melid, r.tempo_bpm, r.ts_num, r.ts_den, r.key_signature) == ("a", 120.0, 3, 4, None)
     assert [(n.pitch, n.onset_beat, n.velocity) for n in r.notes] == [(None, 0.0, 9), (62, 1.0, None)]
+    with pytest.raises(Exception, match="bad note"):
+        validate_notes(spark.createDataFrame([("a", 0, 200, 0.0, 1.0, None)], NOTES)).select("melid").collect()
     files.write_json(files.read_json(spark, f"{tmp_path}/a.json"), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == 1
 
@@ -63,7 +67,10 @@ def database(tmp_path):
 def test_solo_database(spark, database, partitions):
     notes, meta = sqlite.read_solo_database(spark, database, partitions)
     m = {r.melid: r for r in meta.collect()}
-    assert set(m) == {"wjazzd-1", "wjazzd-2"}
+    assert set(m) == {"wjazzd-1", "wjazzd-2", "wjazzd-3"}
+    corpus = sqlite.solo_corpus(spark, database, partitions)
+    assert len(corpus) == 3 and {r.melid for r in corpus.solos().collect()} == {"wjazzd-1", "wjazzd-2"}
+    assert [len(r.notes) for r in corpus.get("wjazzd-1").collect()] == [5] and corpus.get("wjazzd-9").count() == 0 and corpus.get("x").count() == 0
     a, b = m["wjazzd-1"], m["wjazzd-2"]
     assert (a.title, a.recording_year, a.instrument, a.tempo_bpm, a.ts_num, a.ts_den, a.extra["form"]) == ("T", 1959, "Tenor saxophone", 60, 3, 4, "AABA")
     assert (b.title, b.performer, b.instrument, b.tempo_bpm, b.recording_year) == ("Unknown", "Unknown", "xx", None, None)
@@ -90,7 +97,10 @@ def test_result_pages(spark):
 def test_data_status(spark, tmp_path, database):
     got = {r.name: r for r in files.data_status(spark, {"db": database, "none": f"{tmp_path}/nothing/*.xml"}).collect()}
     assert got["db"].present and got["db"].is_sqlite and len(got["db"].sha256) == 64 and got["db"].file_count == 1
-    assert not got["none"].present and got["none"].size_bytes == 0
+    assert not got["none"].present and got["none"].size_bytes == 0 and got["db"].verified is None
+    sha = got["db"].sha256
+    assert [r.verified for r in files.data_status(spark, {"db": database}, {"db": sha.upper()}).collect()] == [True]
+    assert [r.verified for r in files.data_status(spark, {"db": database, "no": f"{tmp_path}/no"}, {"db": "0" * 64, "no": sha}).orderBy("name").collect()] == [False, False]
 
 
 def test_live_phrases(spark, tmp_path):
