@@ -390,6 +390,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 keep.append(similar(mine, shingles(t, shingle)))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
+    # only texts of pairs move
+    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_DROPS else ids, "id", "left_semi")
     both = pairs.join(texts.withColumnRenamed("id", "b"), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("s")), "a")
     return both.sortWithinPartitions("a").select("a", "b", "s", "t").mapInPandas(confirm, "a long, b long")
 
@@ -406,7 +409,10 @@ def similar_links(sets: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFr
     lists = each.withColumn("m", F.first(F.struct("id", "n", "pos")).over(by)).withColumn("next", F.lead("id").over(by))
     lists = table(lists.filter("m.id <> id or next is not null").drop("next"), "lists")
     x = lists.filter("m.id <> id").select("m", F.struct("id", "n", "pos").alias("x"))
-    firsts = table(x.filter(_possible("m", "x")).select(F.col("m.id").alias("a"), F.col("x.id").alias("b")).distinct(), "pairs")
+    firsts = x.filter(_possible("m", "x")).select(F.col("m.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    slim = sets.select("id", F.struct("n", *[f"p{i}" for i in range(WORDS)]).alias("own"))
+    x, y = (slim.select(F.col("id").alias(c), F.col("own").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    firsts = table(firsts.join(x, "a").join(y, "b").filter(_close("x", "y")).select("a", "b"), "pairs")
     found = table(_confirmed(firsts, texts, shingle), "similar")
     classes = table(connected_components(found), "components")
     whole = W.partitionBy("token")
