@@ -265,11 +265,11 @@ def own_feature(spark: SparkSession, sf: str) -> DataFrame:
     return FE.GROUPED["mean_pitch"](events.notes(spark, sf)).select("melid", _r("values").alias("mean_pitch"))
 
 
-@query(SQL["solo_start"].replace("SELECT e.melid, CAST(coalesce(b.start, 8) AS DOUBLE) AS start_beat", "SELECT melid, note_idx, round((onset_beat - start_beat) * 3600, 3) AS seconds FROM (SELECT notes.melid, note_idx, onset_beat, start_beat, count(*) OVER (PARTITION BY notes.melid) AS n FROM notes JOIN (SELECT e.melid, CAST(coalesce(b.start, 8) AS DOUBLE) AS start_beat") + ") z ON z.melid = notes.melid WHERE onset_beat >= start_beat) y WHERE n >= 4")
+@query(SQL["solo_start"].replace("SELECT e.melid, CAST(coalesce(b.start, 8) AS DOUBLE) AS start_beat", "SELECT melid, note_idx, CAST(round((onset_beat - start_beat) * 3600000000.0::DOUBLE) AS BIGINT) AS micros FROM (SELECT notes.melid, note_idx, onset_beat, start_beat, count(*) OVER (PARTITION BY notes.melid) AS n FROM notes JOIN (SELECT e.melid, CAST(coalesce(b.start, 8) AS DOUBLE) AS start_beat") + ") z ON z.melid = notes.melid WHERE onset_beat >= start_beat) y WHERE n >= 4")
 def rebase_from_start(spark: SparkSession, sf: str) -> DataFrame:
     n = events.notes(spark, sf)
-    # beats are hours here; as seconds they have no ties for rounding to decide
-    return SEQ.from_start(n, SEQ.solo_start(n, window=12, longest=6.0)).select("melid", "note_idx", F.round(F.col("onset_beat") * 3600, 3).alias("seconds"))
+    # beats are hours here, and times whole microseconds: rounded to these they have no ties
+    return SEQ.from_start(n, SEQ.solo_start(n, window=12, longest=6.0)).select("melid", "note_idx", F.round(F.col("onset_beat") * F.lit(3600000000.0)).cast("long").alias("micros"))
 
 
 # SQL of the folds whose steps depend on those before
