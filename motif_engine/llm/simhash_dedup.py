@@ -313,6 +313,14 @@ FREQUENT = 200_000
 BROADCAST_DROPS = 1_000_000
 #: Words of 64 parities of a set.
 WORDS = 4
+#: Rows of the sample that make a prefix value a frequent one.
+OFTEN = 16
+#: Lists of more rows than this are compared with PIVOTS of their members, in ROUNDS at most, before all pairs are.
+LONG = 64
+PIVOTS = 16
+ROUNDS = 1
+#: Pairs of one id that one salt holds.
+SALT_PAIRS = 1024
 
 
 def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
@@ -393,37 +401,105 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     # only texts of pairs move
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
     texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_DROPS else ids, "id", "left_semi")
-    both = pairs.join(texts.withColumnRenamed("id", "b"), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("s")), "a")
+    both = _with_text(_with_text(pairs, texts, "b", "t"), texts, "a", "s")
     return both.sortWithinPartitions("a").select("a", "b", "s", "t").mapInPandas(confirm, "a long, b long")
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, key: str, name: str) -> DataFrame:
+    """pairs with the text of their column key; the pairs of an id that has many are dealt by salts."""
+    many = pairs.groupBy(key).agg((F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("salts")).filter("salts > 0")
+    many = F.broadcast(many.orderBy(F.desc("salts"), key).limit(HUBS))
+    salted = pairs.join(many, key, "left").withColumn("salt", F.expr("cast(pmod(xxhash64(a, b), coalesce(salts, 0) + 1) as int)"))
+    texts = texts.select(F.col("id").alias(key), F.col("t").alias(name)).join(many, key, "left")
+    texts = texts.withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 0))")))
+    return salted.drop("salts").join(texts.drop("salts"), [key, "salt"]).drop("salt")
+
+
+def _lists(sets: DataFrame) -> DataFrame:
+    """A table (token, id, n, pos, m) of the sets that share a prefix value with others, m being the list's first set.
+
+    A value that a sample of the sets shows often is aggregated and its first set broadcast; the others' lists, which
+    are short then, are windows. The sample decides the way only.
+    """
+    every = -(-sets.count() // COUNTED)
+    each = sets.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+    often = each.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    often = often.filter(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(HUBS).select("token", F.lit(True).alias("often"))
+    often = F.broadcast(table(often, "often"))
+    own = F.struct("id", "n", "pos")
+    each = each.join(often, "token", "left")
+    by = W.partitionBy("token").orderBy("id")
+    short = each.filter("often is null").withColumn("m", F.first(own).over(by)).withColumn("next", F.lead("id").over(by))
+    short = short.filter("m.id <> id or next is not null").drop("next")
+    long = each.filter("often")
+    long = long.join(F.broadcast(long.groupBy("token").agg(F.min(own).alias("m"))), "token")
+    return table(short.unionByName(long).drop("often"), "lists")
+
+
+def _by_token(rows: DataFrame, lists: DataFrame, most: int) -> DataFrame:
+    """rows joined with lists (token, size and more), those of more than most rows by broadcast."""
+    large, small = F.broadcast(lists.filter(F.col("size") > most)), lists.filter(F.col("size") <= most)
+    return rows.join(large, "token").unionByName(rows.join(small, "token"))
+
+
+def _across(lists: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """A table of the lists that hold several components: their rows with component, the list's size, and the major
+    component, which has most of its rows, and others, the number of rows outside it."""
+    named = lists.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parted = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token")
+    parted = parted.agg(F.sum("rows").alias("size"), F.max(F.struct("rows", "component")).alias("top")).filter("size > top.rows")
+    parted = table(parted.select("token", "size", F.expr("size - top.rows").alias("others"), F.expr("top.component").alias("major")), "parted")
+    return table(_by_token(named, parted, most), "rest")
+
+
 def similar_links(sets: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame:
     """sets (id, n, tokens: their prefixes, p0 ..: their parities) and texts (id, t) to (a, b): similar pairs that connect all that similar pairs connect.
 
-    All sets that share a prefix value are a list. Each list's members are compared with its first one; then, in lists
-    that this leaves in several components, each pair across components that hasn't been compared is, unless places
-    or parities rule it out.
+    All sets that share a prefix value are a list. Each list's members are compared with its first one; where that
+    leaves a long list in several components, with PIVOTS more of its members, ROUNDS times at most. Then each pair
+    across a list's components that hasn't been compared is, unless places or parities rule it out; pairs within the
+    component that has most of a list are never made, and long lists are dealt in tiles, each pair of pieces a task.
     """
-    by = W.partitionBy("token").orderBy("id")
-    each = sets.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
-    lists = each.withColumn("m", F.first(F.struct("id", "n", "pos")).over(by)).withColumn("next", F.lead("id").over(by))
-    lists = table(lists.filter("m.id <> id or next is not null").drop("next"), "lists")
-    x = lists.filter("m.id <> id").select("m", F.struct("id", "n", "pos").alias("x"))
-    firsts = x.filter(_possible("m", "x")).select(F.col("m.id").alias("a"), F.col("x.id").alias("b")).distinct()
-    slim = sets.select("id", F.struct("n", *[f"p{i}" for i in range(WORDS)]).alias("own"))
+    words = [f"p{i}" for i in range(WORDS)]
+    lists = _lists(sets)
+    most = max(HUB, lists.count() // HUBS)
+    firsts = lists.filter("m.id <> id").select("m", F.struct("id", "n", "pos").alias("x")).filter(_possible("m", "x"))
+    firsts = firsts.select(F.col("m.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    slim = sets.select("id", F.struct("n", *words).alias("own"))
     x, y = (slim.select(F.col("id").alias(c), F.col("own").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    firsts = table(firsts.join(x, "a").join(y, "b").filter(_close("x", "y")).select("a", "b"), "pairs")
-    found = table(_confirmed(firsts, texts, shingle), "similar")
-    classes = table(connected_components(found), "components")
-    whole = W.partitionBy("token")
-    rest = lists.select("token", "id", "n", "pos").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = rest.withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole))
-    rest = rest.filter("low <> high").drop("low", "high").join(sets.select("id", *[f"p{i}" for i in range(WORDS)]), "id")
-    rest = table(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, F.expr(f"x.token = y.token and x.id < y.id and x.component <> y.component and {_possible('x', 'y')} and {_close('x', 'y')}"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(firsts, ["a", "b"], "left_anti")
-    return found.unionByName(_confirmed(table(pairs, "pairs"), texts, shingle))
+    tried = table(firsts.join(x, "a").join(y, "b").filter(_close("x", "y")).select("a", "b"), "pairs")
+    found = table(_confirmed(tried, texts, shingle), "similar")
+    lists = lists.drop("m").join(sets.select("id", *words), "id")
+    own = F.struct("id", "n", "pos", "component", *words)
+    for k in range(ROUNDS + 1):
+        # lists in one component stay so, so that later rounds read only what is left
+        rest = _across(lists, table(connected_components(found), "components"), most)
+        lists = rest.drop("component", "size", "others", "major")
+        long = rest.filter(F.col("size") > LONG)
+        if k == ROUNDS or long.isEmpty():
+            break
+        rank = F.xxhash64("id", F.lit(k))
+        pivots = long.groupBy("token", F.pmod(rank, F.lit(PIVOTS)).alias("slot")).agg(F.min_by(own, rank).alias("x"), F.max("size").alias("size"))
+        pivots = pivots.groupBy("token").agg(F.collect_list("x").alias("xs"), F.max("size").alias("size"))
+        pairs = _by_token(long.select("token", own.alias("y")), table(pivots, "pivots"), most).select("y", F.explode("xs").alias("x"))
+        pairs = pairs.filter(f"x.component <> y.component and {_possible('x', 'y')} and {_close('x', 'y')}")
+        pairs = table(_fresh(pairs, tried), "pairs")
+        tried = tried.unionByName(pairs)
+        found = found.unionByName(table(_confirmed(pairs, texts, shingle), "similar"))
+    # tiles: a piece of a list's others against a piece of the list
+    piece = f"cast(ceil({{}} / {SHARD}) as int)"
+    xs, ys = piece.format("others"), piece.format("size")
+    x = rest.filter("component <> major").select("token", own.alias("x"), F.expr(f"cast(pmod(xxhash64(id), {xs}) as int)").alias("i"), F.explode(F.expr(f"sequence(0, {ys} - 1)")).alias("j"))
+    y = rest.select("token", "major", own.alias("y"), F.expr(f"cast(pmod(xxhash64(id), {ys}) as int)").alias("j"), F.explode(F.expr(f"sequence(0, {xs} - 1)")).alias("i"))
+    once = "x.component <> y.component and (y.component = major or x.id < y.id)"
+    pairs = x.join(y, ["token", "i", "j"]).filter(f"{once} and {_possible('x', 'y')} and {_close('x', 'y')}")
+    return found.unionByName(_confirmed(table(_fresh(pairs, tried), "pairs"), texts, shingle))
+
+
+def _fresh(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of x and y that aren't among those tried."""
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return pairs.distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5) -> DataFrame:

@@ -219,8 +219,12 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_near_copies_are_those_of_brute_force(spark):
-    """Every pair at 0.8 or more is found, also just there; none below is, down to 0.6; with a hub of similar texts."""
+@pytest.mark.parametrize("sizes", [{}, {"SHARD": 7, "LONG": 8, "OFTEN": 4, "PIVOTS": 3, "SALT_PAIRS": 5, "HUB": 10}])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, sizes):
+    """Every pair at 0.8 or more is found, also just there; none below is, down to 0.6; with a hub of similar texts,
+    also where long lists get pivots and tiles, and hot values, lists and texts ways of their own."""
+    for name, n in sizes.items():
+        monkeypatch.setattr(S, name, n)
     rng, texts, bands = random.Random(9), [], Counter()
     for k in range(400):
         a, b = shared(rng, 0.6 + 0.3 * k / 400)
