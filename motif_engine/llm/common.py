@@ -90,8 +90,10 @@ HUB = 4096
 HUBS = 100_000
 
 
-def with_least(both: DataFrame, low: DataFrame, hub: int) -> DataFrame:
-    """both (u, v) and m, the least number of u's row in low (u, m, n); a hub's links stay where they are."""
+def with_least(both: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
+    """both (u, v) and m, the least number of u's row in low (u, m, n); a hub's links stay where they are. None: there is no hub."""
+    if hub is None:
+        return both.join(low.select("u", "m"), "u")
     hubs = F.broadcast(low.filter(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
     marked = both.join(hubs, "u", "left")
     rest = marked.filter("hub_m is null").drop("hub_m").join(low.filter(F.col("n") <= hub).select("u", "m"), "u")
@@ -116,17 +118,24 @@ def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
         if tuple(now) == mark or not now[0]:
             break
         mark, limit = tuple(now), max(hub, now[0] // HUBS)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        limit = limit if now[0] > limit else None  # no node has more links than there are
+
+        def least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """links and their minima; where there can be hubs, both are tables, so that the plan of a round stays small."""
+            links = links if limit is None else table(links, "links")
+            low = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+            return links, low if limit is None else table(low, "least")
+
+        both, low = least(_both_ways(e, "u", "v", "v", "u"))
         large = with_least(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = with_least(large, low, limit)
-        e = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = table(e.filter("u <> v").distinct(), "stars")
-    ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return ids.union(roots).distinct()
+        large, low = least(large.filter("u <> v").distinct())
+        e = table(_both_ways(with_least(large, low, limit), "u", "m", "v", "m").filter("u <> v").distinct(), "stars")
+    return _both_ways(e, "u", "v", "v", "v").toDF("id", "component").distinct()
+
+
+def _both_ways(rows: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """(u, v): columns a and b of each row, and c and d; rows are read once."""
+    return rows.select(F.inline(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(c).alias("u"), F.col(d).alias("v")))))
 
 
 def whole_text(col: str | Column = "text") -> Column:

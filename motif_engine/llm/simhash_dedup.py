@@ -408,7 +408,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 def _with_text(pairs: DataFrame, texts: DataFrame, key: str, name: str) -> DataFrame:
     """pairs with the text of their column key; the pairs of an id that has many are dealt by salts."""
     many = pairs.groupBy(key).agg((F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("salts")).filter("salts > 0")
-    many = F.broadcast(many.orderBy(F.desc("salts"), key).limit(HUBS))
+    many = table(many.orderBy(F.desc("salts"), key).limit(HUBS), "many")
+    if many.isEmpty():
+        return pairs.join(texts.select(F.col("id").alias(key), F.col("t").alias(name)), key)
+    many = F.broadcast(many)
     salted = pairs.join(many, key, "left").withColumn("salt", F.expr("cast(pmod(xxhash64(a, b), coalesce(salts, 0) + 1) as int)"))
     texts = texts.select(F.col("id").alias(key), F.col("t").alias(name)).join(many, key, "left")
     texts = texts.withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 0))")))
@@ -425,9 +428,9 @@ def _lists(sets: DataFrame) -> DataFrame:
     each = sets.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
     often = each.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     often = often.filter(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(HUBS).select("token", F.lit(True).alias("often"))
-    often = F.broadcast(table(often, "often"))
+    often = table(often, "often")
     own = F.struct("id", "n", "pos")
-    each = each.join(often, "token", "left")
+    each = each.join(F.broadcast(often), "token", "left")
     by = W.partitionBy("token").orderBy("id")
     short = each.filter("often is null").withColumn("m", F.first(own).over(by)).withColumn("next", F.lead("id").over(by))
     short = short.filter("m.id <> id or next is not null").drop("next")
@@ -438,14 +441,16 @@ def _lists(sets: DataFrame) -> DataFrame:
 
 def _by_token(rows: DataFrame, lists: DataFrame, most: int) -> DataFrame:
     """rows joined with lists (token, size and more), those of more than most rows by broadcast."""
-    large, small = F.broadcast(lists.filter(F.col("size") > most)), lists.filter(F.col("size") <= most)
-    return rows.join(large, "token").unionByName(rows.join(small, "token"))
+    large, small = lists.filter(F.col("size") > most), lists.filter(F.col("size") <= most)
+    if large.isEmpty():
+        return rows.join(lists, "token")
+    return rows.join(F.broadcast(large), "token").unionByName(rows.join(small, "token"))
 
 
 def _across(lists: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """A table of the lists that hold several components: their rows with component, the list's size, and the major
     component, which has most of its rows, and others, the number of rows outside it."""
-    named = lists.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = table(lists.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
     parted = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token")
     parted = parted.agg(F.sum("rows").alias("size"), F.max(F.struct("rows", "component")).alias("top")).filter("size > top.rows")
     parted = table(parted.select("token", "size", F.expr("size - top.rows").alias("others"), F.expr("top.component").alias("major")), "parted")
