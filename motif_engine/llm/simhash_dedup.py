@@ -1,7 +1,8 @@
 """Near-dedup: links of close SimHash fingerprints (op3), and links of texts with similar shingle sets (the pipeline's stage).
 
-The first, components(), is an exact search in a forest of vantage-point trees; the second, deduplicate(), is a prefix
-filter with exact confirmation, and uses neither fingerprints nor trees.
+The first, components(), is an exact search in a forest of vantage-point trees. The second, deduplicate(), takes that
+search's links of fingerprints, confirms each on the shingle sets, and finds the similar texts that fingerprints tell
+apart by a prefix filter across the components that are left.
 
 Fingerprints: a bit is set if it is set in over half the XXH64 values (seed 42) of a text's word shingles,
 repeats included. Words are runs without ASCII white space; A-Z are lower-cased.
@@ -71,8 +72,12 @@ def _hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     """Of a text in UTF-8."""
+    return _majority(_hashes(text, shingle))
+
+
+def _majority(hashes: Iterable[np.ndarray]) -> int:
     ones, n = np.zeros(64, np.int64), 0
-    for h in _hashes(text, shingle):
+    for h in hashes:
         ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
@@ -312,7 +317,7 @@ FREQUENT = 200_000
 #: More rows to drop than this are joined by shuffle instead of broadcast.
 BROADCAST_DROPS = 1_000_000
 #: Words of 64 parities of a set.
-WORDS = 4
+WORDS = 8
 #: Rows of the sample that make a prefix value a frequent one.
 OFTEN = 16
 #: Lists of more rows than this are compared with PIVOTS of their members, in ROUNDS at most, before all pairs are.
@@ -325,8 +330,11 @@ SALT_PAIRS = 1024
 
 def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
     """The distinct XXH64 values of a text's shingles, sorted."""
-    each = list(_hashes(text, shingle))
-    return np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
+    return _distinct(list(_hashes(text, shingle)))
+
+
+def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -354,6 +362,24 @@ def parities(values: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
 
 
+def wide(values: np.ndarray) -> bytes:
+    """The number of values and their parities in two to four times as many classes, a power of two; folded, they are
+    those of fewer classes."""
+    bits = 1 << max(8, int(2 * len(values) - 1).bit_length()) if len(values) else 1 << 8
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(values).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes) -> bool:
+    """Whether wide() of two sets leaves it open that these are similar."""
+    part, whole = SIMILAR
+    n = int.from_bytes(a[:4], "little") + int.from_bytes(b[:4], "little")
+    x, y = sorted((np.frombuffer(a, np.uint8, offset=4), np.frombuffer(b, np.uint8, offset=4)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (whole + part) * int(np.bitwise_count(x ^ y).sum()) <= (whole - part) * n
+
+
 def _frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of about COUNTED texts, sorted, and their counts."""
     every = -(-docs.count() // COUNTED)
@@ -405,8 +431,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return both.sortWithinPartitions("a").select("a", "b", "s", "t").mapInPandas(confirm, "a long, b long")
 
 
+def _left_open(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A table of the distinct pairs (a, b) that wide() of their sets (id, wide) doesn't rule out."""
+
+    @F.pandas_udf("boolean")
+    def close(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([may_be_similar(a, b) for a, b in zip(x, y, strict=True)], dtype=bool)
+
+    pairs, sets = table(pairs.distinct(), "pairs"), sets.select("id", F.col("wide").alias("t"))
+    both = _with_text(_with_text(pairs, sets, "b", "y"), sets, "a", "x")
+    return table(both.filter(close("x", "y")).select("a", "b"), "open")
+
+
 def _with_text(pairs: DataFrame, texts: DataFrame, key: str, name: str) -> DataFrame:
-    """pairs with the text of their column key; the pairs of an id that has many are dealt by salts."""
+    """pairs with the text (column t of id) of their column key; the pairs of an id that has many are dealt by salts."""
     many = pairs.groupBy(key).agg((F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("salts")).filter("salts > 0")
     many = table(many.orderBy(F.desc("salts"), key).limit(HUBS), "many")
     if many.isEmpty():
@@ -419,24 +457,21 @@ def _with_text(pairs: DataFrame, texts: DataFrame, key: str, name: str) -> DataF
 
 
 def _lists(sets: DataFrame) -> DataFrame:
-    """A table (token, id, n, pos, m) of the sets that share a prefix value with others, m being the list's first set.
+    """A table (token, id, n, pos) of the sets that share a prefix value with others.
 
-    A value that a sample of the sets shows often is aggregated and its first set broadcast; the others' lists, which
-    are short then, are windows. The sample decides the way only.
+    A value that a sample of the sets shows often is counted and its row broadcast; the others' lists, which are
+    short then, are windows. The sample decides the way only.
     """
     every = -(-sets.count() // COUNTED)
     each = sets.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
     often = each.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     often = often.filter(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(HUBS).select("token", F.lit(True).alias("often"))
     often = table(often, "often")
-    own = F.struct("id", "n", "pos")
     each = each.join(F.broadcast(often), "token", "left")
     by = W.partitionBy("token").orderBy("id")
-    short = each.filter("often is null").withColumn("m", F.first(own).over(by)).withColumn("next", F.lead("id").over(by))
-    short = short.filter("m.id <> id or next is not null").drop("next")
-    long = each.filter("often")
-    long = long.join(F.broadcast(long.groupBy("token").agg(F.min(own).alias("m"))), "token")
-    return table(short.unionByName(long).drop("often"), "lists")
+    short = each.filter("often is null").withColumn("last", F.lag("id").over(by)).withColumn("next", F.lead("id").over(by))
+    short = short.filter("last is not null or next is not null").drop("last", "next")
+    return table(short.unionByName(each.filter("often")).drop("often"), "lists")
 
 
 def _by_token(rows: DataFrame, lists: DataFrame, most: int) -> DataFrame:
@@ -447,50 +482,55 @@ def _by_token(rows: DataFrame, lists: DataFrame, most: int) -> DataFrame:
     return rows.join(F.broadcast(large), "token").unionByName(rows.join(small, "token"))
 
 
-def _across(lists: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """A table of the lists that hold several components: their rows with component, the list's size, and the major
-    component, which has most of its rows, and others, the number of rows outside it."""
+def _across(lists: DataFrame, classes: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """A table of the lists that hold several components: their rows with component, the list's size, the major
+    component, which has most of its rows, and others, the number of rows outside it, and with the set's words."""
     named = table(lists.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
     parted = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token")
     parted = parted.agg(F.sum("rows").alias("size"), F.max(F.struct("rows", "component")).alias("top")).filter("size > top.rows")
     parted = table(parted.select("token", "size", F.expr("size - top.rows").alias("others"), F.expr("top.component").alias("major")), "parted")
-    return table(_by_token(named, parted, most), "rest")
+    return table(_by_token(named, parted, most).join(words, "id"), "rest")
+
+
+def nominated(sets: DataFrame, distance: int = 4) -> DataFrame:
+    """sets (id, fp) to distinct (a, b): each set and the first one of its fingerprint, and the first ones of fingerprints
+    that the search in vantage-point trees links."""
+    first = table(sets.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    firsts = first.select(F.col("fp").alias("id"), F.col("first").alias("t"))
+    close = table(links(first.select("fp"), distance).distinct(), "close")
+    close = _with_text(_with_text(close, firsts, "b", "y"), firsts, "a", "x").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = _with_text(sets.select(F.col("fp").alias("a"), F.col("id").alias("b")), firsts, "a", "x").filter("x <> b")
+    return close.unionByName(equal.select(F.col("x").alias("a"), "b")).distinct()
 
 
-def similar_links(sets: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """sets (id, n, tokens: their prefixes, p0 ..: their parities) and texts (id, t) to (a, b): similar pairs that connect all that similar pairs connect.
+def similar_links(sets: DataFrame, texts: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
+    """sets (id, fp, n, tokens: their prefixes, p0 ..: their parities, wide) and texts (id, t) to (a, b): similar pairs that connect all that similar pairs connect.
 
-    All sets that share a prefix value are a list. Each list's members are compared with its first one; where that
-    leaves a long list in several components, with PIVOTS more of its members, ROUNDS times at most. Then each pair
-    across a list's components that hasn't been compared is, unless places or parities rule it out; pairs within the
-    component that has most of a list are never made, and long lists are dealt in tiles, each pair of pieces a task.
+    Links of fingerprints come first; those whose sets are similar make components. All sets that share a prefix value
+    are a list. Each list in several components has its members compared with the first one of its major component, a
+    long list with PIVOTS of its members, ROUNDS times at most. Then each pair across a list's components is, unless
+    places or parities rule it out; pairs within the component that has most of a list are never made, and long lists
+    are dealt in tiles, each pair of pieces a task.
     """
     words = [f"p{i}" for i in range(WORDS)]
+    found = table(_confirmed(table(nominated(sets.select("id", "fp"), distance), "nominated"), texts, shingle), "similar")
     lists = _lists(sets)
     most = max(HUB, lists.count() // HUBS)
-    firsts = lists.filter("m.id <> id").select("m", F.struct("id", "n", "pos").alias("x")).filter(_possible("m", "x"))
-    firsts = firsts.select(F.col("m.id").alias("a"), F.col("x.id").alias("b")).distinct()
-    slim = sets.select("id", F.struct("n", *words).alias("own"))
-    x, y = (slim.select(F.col("id").alias(c), F.col("own").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    tried = table(firsts.join(x, "a").join(y, "b").filter(_close("x", "y")).select("a", "b"), "pairs")
-    found = table(_confirmed(tried, texts, shingle), "similar")
-    lists = lists.drop("m").join(sets.select("id", *words), "id")
     own = F.struct("id", "n", "pos", "component", *words)
     for k in range(ROUNDS + 1):
         # lists in one component stay so, so that later rounds read only what is left
-        rest = _across(lists, table(connected_components(found), "components"), most)
-        lists = rest.drop("component", "size", "others", "major")
-        long = rest.filter(F.col("size") > LONG)
-        if k == ROUNDS or long.isEmpty():
+        rest = _across(lists, table(connected_components(found), "components"), sets.select("id", *words), most)
+        lists = rest.drop("component", "size", "others", "major", *words)
+        if k == ROUNDS:
             break
         rank = F.xxhash64("id", F.lit(k))
-        pivots = long.groupBy("token", F.pmod(rank, F.lit(PIVOTS)).alias("slot")).agg(F.min_by(own, rank).alias("x"), F.max("size").alias("size"))
-        pivots = pivots.groupBy("token").agg(F.collect_list("x").alias("xs"), F.max("size").alias("size"))
-        pairs = _by_token(long.select("token", own.alias("y")), table(pivots, "pivots"), most).select("y", F.explode("xs").alias("x"))
+        slot = F.when(F.col("size") > LONG, F.pmod(rank, F.lit(PIVOTS))).when(F.col("component") == F.col("major"), -1)
+        pivots = rest.withColumn("slot", slot).filter("slot is not null")
+        pivots = pivots.groupBy("token", "slot").agg(F.min_by(own, F.when(F.col("slot") < 0, F.col("id")).otherwise(rank)).alias("x"), F.max("size").alias("size"))
+        pivots = table(pivots.groupBy("token").agg(F.collect_list("x").alias("xs"), F.max("size").alias("size")), "pivots")
+        pairs = _by_token(rest.select("token", own.alias("y")), pivots, most).select("y", F.explode("xs").alias("x"))
         pairs = pairs.filter(f"x.component <> y.component and {_possible('x', 'y')} and {_close('x', 'y')}")
-        pairs = table(_fresh(pairs, tried), "pairs")
-        tried = tried.unionByName(pairs)
-        found = found.unionByName(table(_confirmed(pairs, texts, shingle), "similar"))
+        found = found.unionByName(table(_confirmed(_left_open(_ordered(pairs), sets), texts, shingle), "similar"))
     # tiles: a piece of a list's others against a piece of the list
     piece = f"cast(ceil({{}} / {SHARD}) as int)"
     xs, ys = piece.format("others"), piece.format("size")
@@ -498,21 +538,19 @@ def similar_links(sets: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFr
     y = rest.select("token", "major", own.alias("y"), F.expr(f"cast(pmod(xxhash64(id), {ys}) as int)").alias("j"), F.explode(F.expr(f"sequence(0, {xs} - 1)")).alias("i"))
     once = "x.component <> y.component and (y.component = major or x.id < y.id)"
     pairs = x.join(y, ["token", "i", "j"]).filter(f"{once} and {_possible('x', 'y')} and {_close('x', 'y')}")
-    return found.unionByName(_confirmed(table(_fresh(pairs, tried), "pairs"), texts, shingle))
+    return found.unionByName(_confirmed(_left_open(_ordered(pairs), sets), texts, shingle))
 
 
-def _fresh(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of x and y that aren't among those tried."""
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    return pairs.distinct().join(tried, ["a", "b"], "left_anti")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5) -> DataFrame:
     """docs with one row of each group of near copies, the one of the smallest identifier; columns as they were.
 
     Near copies are texts whose sets of shingles have a Jaccard similarity of SIMILAR or more, and what such pairs
-    connect. Fingerprints can't tell these exactly, so that this uses none: a prefix filter over the sets nominates
-    pairs, without loss, and each is confirmed on the sets themselves.
+    connect. Fingerprints close to each other nominate pairs first, a prefix filter over the sets those that are left,
+    without loss, and each is confirmed on the sets themselves.
     """
     ship(docs.sparkSession)
     row = f"{OWN}row"
@@ -520,10 +558,15 @@ def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", shin
 
     words = [f"p{i}" for i in range(WORDS)]
 
-    @F.pandas_udf(f"n int, same binary, tokens array<long>, {' long, '.join(words)} long")
+    @F.pandas_udf(f"fp long, n int, same binary, wide binary, tokens array<long>, {' long, '.join(words)} long")
     def described(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, shingle) for t in texts]
+        fps, sets = [], []
+        for t in texts:
+            hashes = list(_hashes(t, shingle))
+            fps.append(_majority(hashes))
+            sets.append(_distinct(hashes))
         return pd.DataFrame({
+            "fp": np.array(fps, np.uint64).view(np.int64), "wide": [wide(s) for s in sets],
             "n": pd.Series([len(s) for s in sets], dtype="int32"), "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
             "tokens": [prefix(s, frequent, count).view(np.int64) for s in sets],
             **dict(zip(words, np.array([parities(s) for s in sets], np.int64).reshape(-1, WORDS).T, strict=True)),
@@ -536,7 +579,7 @@ def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", shin
     first = table(rows.groupBy("same").agg(F.min(key).alias("first")).select(F.col("first.rid").alias("id"), "first"), "classes")
     sets = _without(rows, rows.select("rid").join(first.select(F.col("id").alias("rid")), "rid", "left_anti"))
     texts = rows.select(F.col("rid").alias("id"), F.col(row).getField(text).cast("binary").alias("t"))
-    classes = connected_components(similar_links(sets.select(F.col("rid").alias("id"), "n", "tokens", *words), texts, shingle))
+    classes = connected_components(similar_links(sets.select(F.col("rid").alias("id"), "fp", "n", "wide", "tokens", *words), texts, shingle))
     named = first.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
     return _without(rows, rows.select("rid").join(stay, "rid", "left_anti")).select(f"{row}.*")

@@ -254,6 +254,43 @@ def test_similar_sets_share_a_prefix_value_and_parities_bound_their_difference(a
     assert sum((p ^ q) % 2**64 >> k & 1 for p, q in zip(S.parities(x), S.parities(y), strict=True) for k in range(64)) <= len(a ^ b)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=700), st.data())
+def test_wide_parities_rule_out_no_similar_pair(a, data):
+    """Also across sizes that have other numbers of classes."""
+    b = (a - set(sorted(a)[: data.draw(st.integers(0, 1 + len(a) // 7))])) | data.draw(st.sets(st.integers(0, 2**64 - 1), max_size=1 + len(a) // 7))
+    x, y = (np.array(sorted(v), np.uint64) for v in (a, b))
+    if S.similar(x, y):
+        assert S.may_be_similar(S.wide(x), S.wide(y)) and S.may_be_similar(S.wide(y), S.wide(x))
+
+
+def test_near_dedup_takes_links_of_fingerprints_first(spark, monkeypatch):
+    """Its first pairs are those of the search in vantage-point trees; what these connect is what brute force connects."""
+    rng, asked = random.Random(3), []
+    texts = [x for k in range(60) for x in shared(rng, 0.9 + 0.1 * k / 60, 300)]
+    fps = [S.fingerprint(t.encode(), 5) for t in texts]
+    df = spark.createDataFrame([(k, int(np.uint64(f).astype(np.int64))) for k, f in enumerate(fps)], "id long, fp long")
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert len(near) > 10
+    assert components(len(fps), [(r.a, r.b) for r in S.nominated(df).collect()]) == components(len(fps), near)
+    search = S.links
+    monkeypatch.setattr(S, "links", lambda *a, **k: asked.append(1) or search(*a, **k))
+    S.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert asked
+
+
+def test_texts_move_only_for_pairs_that_can_be_similar(spark, monkeypatch):
+    """Long texts that share a passage are many pairs, ruled out before their texts are read."""
+    monkeypatch.setattr(S, "FREQUENT", 0)
+    rng, moved = random.Random(6), []
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join([f"u{rng.randrange(10**6)}" for _ in range(1500)] + passage) for _ in range(30)]
+    confirm = S._confirmed
+    monkeypatch.setattr(S, "_confirmed", lambda pairs, *rest: moved.append(pairs.count()) or confirm(pairs, *rest))
+    assert S.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 30
+    assert len(moved) > 1 and sum(moved) == 0
+
+
 def vectors(n=300, dims=16, seed=2):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n // 3, dims))
