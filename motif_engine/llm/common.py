@@ -7,8 +7,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +91,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
 #: hubs have more, so that there are 2 * HUBS of them at most (two numbers each), which is what is broadcast.
 HUB = 4096
 HUBS = 100_000
+#: Links that one task unites; more than these take rounds, whose plans and jobs are what fills the driver's memory.
+UNITED = 1 << 18
 
 
 def with_least(both: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
@@ -103,9 +108,9 @@ def with_least(both: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
 def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(a, b) links to (id, component): the smallest id that links reach, for each id in edges.
 
-    Alternates large-star and small-star until the edges stay as they are, however many rounds that takes; every
-    round is a table in the shared folder. Degrees are unbounded: minima use partial aggregation, and a hub's
-    minimum is broadcast to its links, so that no task holds all links of a node.
+    Up to UNITED links are united by one task. More of them alternate large-star and small-star until the edges stay as
+    they are, however many rounds that takes; every round is a table in the shared folder. Degrees are unbounded there:
+    minima use partial aggregation, and a hub's minimum is broadcast to its links, so that no task holds all links of a node.
     """
     e = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -113,6 +118,9 @@ def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
         .distinct()
     )
     e, mark = table(e, "edges"), None
+    if e.count() <= UNITED:
+        ship(e.sparkSession)
+        return e.coalesce(1).mapInArrow(_classes, "id long, component long")
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark or not now[0]:
@@ -133,6 +141,32 @@ def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     return _both_ways(e, "u", "v", "v", "v").toDF("id", "component").distinct()
 
 
+def united(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """low (each index's root, the smallest of its component) after links between a and b."""
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return low
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = low[low]
+            if (up == low).all():
+                break
+            low = up
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v), all links in one task, to (id, component)."""
+    rows = [tuple(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("u", "v")) for b in batches if b.num_rows]
+    if rows:
+        u, v = (np.concatenate(x) for x in zip(*rows, strict=True))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        low = united(np.arange(len(ids)), at[: len(u)], at[len(u) :])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[low])], ["id", "component"])
+
+
 def _both_ways(rows: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """(u, v): columns a and b of each row, and c and d; rows are read once."""
     return rows.select(F.inline(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(c).alias("u"), F.col(d).alias("v")))))

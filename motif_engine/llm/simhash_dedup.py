@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import HUB, HUBS, OWN, connected_components, parts, ship, table, union, with_least
+from .common import HUB, HUBS, OWN, connected_components, parts, ship, table, union, united, with_least
 
 SEED = 42
 #: Values whose bits are counted at once; bounds the memory that a long text takes.
@@ -146,22 +146,6 @@ class Tree:
         return row, paths[row, at]
 
 
-def _united(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """low (each index's root, the smallest of its component) after links between a and b."""
-    while True:
-        x, y = low[a], low[b]
-        apart = x != y
-        if not apart.any():
-            return low
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = low[low]
-            if (up == low).all():
-                break
-            low = up
-
-
 def _linked_large(fps: np.ndarray, homes: int, distance: int) -> np.ndarray:
     """For each fingerprint the index of the smallest one in its component, over pairs with one of the first homes."""
     low = np.arange(len(fps))
@@ -171,7 +155,7 @@ def _linked_large(fps: np.ndarray, homes: int, distance: int) -> np.ndarray:
         a, b = np.nonzero(np.bitwise_count(rows[:, None] ^ fps[None, i:]) <= distance)
         some = a < b
         if some.any():
-            low = _united(low, a[some] + i, b[some] + i)
+            low = united(low, a[some] + i, b[some] + i)
     return low
 
 
@@ -186,7 +170,7 @@ def _linked_small(fps: np.ndarray, group: np.ndarray, visitor: np.ndarray, dista
         near = at[np.bitwise_count(fps[at] ^ fps[at + off]) <= distance]
         a.append(near)
         b.append(near + off)
-    return _united(low, np.concatenate(a), np.concatenate(b)) if a else low
+    return united(low, np.concatenate(a), np.concatenate(b)) if a else low
 
 
 def _search(distance: int, small: int = 64):
@@ -427,7 +411,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     # only texts of pairs move
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
     texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_DROPS else ids, "id", "left_semi")
-    both = _with_text(_with_text(pairs, texts, "b", "t"), texts, "a", "s")
+    both = _with_texts(pairs, texts, b="t", a="s")
     return both.sortWithinPartitions("a").select("a", "b", "s", "t").mapInPandas(confirm, "a long, b long")
 
 
@@ -439,21 +423,27 @@ def _left_open(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pd.Series([may_be_similar(a, b) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     pairs, sets = table(pairs.distinct(), "pairs"), sets.select("id", F.col("wide").alias("t"))
-    both = _with_text(_with_text(pairs, sets, "b", "y"), sets, "a", "x")
+    both = _with_texts(pairs, sets, b="y", a="x")
     return table(both.filter(close("x", "y")).select("a", "b"), "open")
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, key: str, name: str) -> DataFrame:
-    """pairs with the text (column t of id) of their column key; the pairs of an id that has many are dealt by salts."""
-    many = pairs.groupBy(key).agg((F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("salts")).filter("salts > 0")
-    many = table(many.orderBy(F.desc("salts"), key).limit(HUBS), "many")
-    if many.isEmpty():
-        return pairs.join(texts.select(F.col("id").alias(key), F.col("t").alias(name)), key)
-    many = F.broadcast(many)
-    salted = pairs.join(many, key, "left").withColumn("salt", F.expr("cast(pmod(xxhash64(a, b), coalesce(salts, 0) + 1) as int)"))
-    texts = texts.select(F.col("id").alias(key), F.col("t").alias(name)).join(many, key, "left")
-    texts = texts.withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 0))")))
-    return salted.drop("salts").join(texts.drop("salts"), [key, "salt"]).drop("salt")
+def _with_texts(pairs: DataFrame, texts: DataFrame, **names: str) -> DataFrame:
+    """pairs with the texts (column t of id) of its key columns, under these names; the pairs of an id that has many are
+    dealt by salts. The ids of all keys are counted at once, before any text is joined."""
+    ids = F.explode(F.array(*[F.struct(F.lit(key).alias("key"), F.col(key).alias("id")) for key in names]))
+    many = pairs.select(ids.alias("e")).groupBy("e.key", "e.id").agg((F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("salts"))
+    many = table(many.filter("salts > 0").orderBy(F.desc("salts"), "key", "id").limit(HUBS), "many")
+    salted = not many.isEmpty()
+    for key, name in names.items():
+        own = texts.select(F.col("id").alias(key), F.col("t").alias(name))
+        if not salted:
+            pairs = pairs.join(own, key)
+            continue
+        salts = F.broadcast(many.filter(F.col("key") == key).select(F.col("id").alias(key), "salts"))
+        pairs = pairs.join(salts, key, "left").withColumn("salt", F.expr("cast(pmod(xxhash64(a, b), coalesce(salts, 0) + 1) as int)"))
+        own = own.join(salts, key, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 0))")))
+        pairs = pairs.drop("salts").join(own.drop("salts"), [key, "salt"]).drop("salt")
+    return pairs
 
 
 def _lists(sets: DataFrame) -> DataFrame:
@@ -498,8 +488,8 @@ def nominated(sets: DataFrame, distance: int = 4) -> DataFrame:
     first = table(sets.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     firsts = first.select(F.col("fp").alias("id"), F.col("first").alias("t"))
     close = table(links(first.select("fp"), distance).distinct(), "close")
-    close = _with_text(_with_text(close, firsts, "b", "y"), firsts, "a", "x").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    equal = _with_text(sets.select(F.col("fp").alias("a"), F.col("id").alias("b")), firsts, "a", "x").filter("x <> b")
+    close = _with_texts(close, firsts, b="y", a="x").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = _with_texts(sets.select(F.col("fp").alias("a"), F.col("id").alias("b")), firsts, a="x").filter("x <> b")
     return close.unionByName(equal.select(F.col("x").alias("a"), "b")).distinct()
 
 

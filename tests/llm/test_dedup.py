@@ -9,6 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from pyspark.sql import functions as F
 
+from motif_engine.llm import common as C
 from motif_engine.llm import embedding_dedup as E
 from motif_engine.llm import exact_dedup as X
 from motif_engine.llm import simhash_dedup as S
@@ -82,6 +83,26 @@ def test_components(spark):
     assert split == got and connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_take_one_table_and_more_take_rounds(spark, monkeypatch):
+    """The driver's memory follows the plans and jobs; both ways give what a plain union gives, also on paths and hubs."""
+    rng, written = random.Random(8), []
+    names = list(range(700))
+    rng.shuffle(names)
+    edges = [(names[i], names[i + 1]) for i in range(299)] + [(names[300], names[k]) for k in range(301, 400)]
+    edges += [(names[rng.randrange(400, 700)], names[rng.randrange(400, 700)]) for _ in range(150)] + [(5, 5)]
+    low = components(700, edges)
+    want = {x: low[x] - 300 for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame([(a - 300, b - 300) for a, b in edges] + [(None, 1), (2, None)], "a long, b long")
+    write = C.table
+    monkeypatch.setattr(C, "table", lambda df, name, **o: written.append(name) or write(df, name, **o))
+    assert {r.id + 300: r.component for r in connected_components(df).collect()} == want and written == ["edges"]
+    monkeypatch.setattr(C, "UNITED", 0)
+    for hub in (C.HUB, 5):
+        assert {r.id + 300: r.component for r in connected_components(df, hub).collect()} == want
+    assert "stars" in written and "least" in written
+    assert connected_components(df.limit(0)).count() == 0
+
+
 def brute_fingerprint(text, k):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
@@ -279,6 +300,28 @@ def test_near_dedup_takes_links_of_fingerprints_first(spark, monkeypatch):
     assert asked
 
 
+def test_hot_ids_of_both_columns_are_counted_once(spark, monkeypatch):
+    """Pairs get both texts, whichever column has ids with many pairs; one table names these, before a text is joined."""
+    monkeypatch.setattr(S, "SALT_PAIRS", 4)
+    written, write = [], S.table
+    monkeypatch.setattr(S, "table", lambda df, name, **o: written.append(name) or write(df, name, **o))
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "id long, t string")
+    for pairs in ([(0, k) for k in range(1, 30)] + [(k, 50) for k in range(10, 40)], [(2 * k, 2 * k + 1) for k in range(9)]):
+        written.clear()
+        got = S._with_texts(spark.createDataFrame(pairs, "a long, b long"), texts, b="y", a="x").select("a", "b", "x", "y")
+        assert sorted(map(tuple, got.collect())) == sorted((a, b, f"t{a}", f"t{b}") for a, b in pairs) and written == ["many"]
+
+
+def test_near_dedup_also_unites_in_rounds(spark, monkeypatch):
+    """Over UNITED links, its components take the distributed rounds; the rows kept are the same."""
+    rng = random.Random(12)
+    texts = [x for k in range(40) for x in shared(rng, 0.7 + 0.3 * k / 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in S.deduplicate(df).collect())
+    monkeypatch.setattr(C, "UNITED", 0)
+    assert 40 < len(kept) < 80 and sorted(r.doc_id for r in S.deduplicate(df).collect()) == kept
+
+
 def test_texts_move_only_for_pairs_that_can_be_similar(spark, monkeypatch):
     """Long texts that share a passage are many pairs, ruled out before their texts are read."""
     monkeypatch.setattr(S, "FREQUENT", 0)
