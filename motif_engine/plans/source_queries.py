@@ -6,6 +6,7 @@ Files go to the shared folder (spark.checkpoint.dir), and to a temporary one whe
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import io
 import json
@@ -169,9 +170,7 @@ def _database(spark: SparkSession, sf: str) -> str:
 
     os.makedirs(folder)
     path = f"{folder}/solos.db"
-    solos = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name", "c_nationkey").collect()
-    notes = events.notes(spark, sf).select(F.substring("melid", 4, 20).cast("long").alias("m"), "onset_beat", "pitch", "duration_beats").collect()
-    with sqlite3.connect(path) as c:
+    with contextlib.closing(sqlite3.connect(path)) as c:
         c.executescript("""
         CREATE TABLE solo_info (melid INTEGER, performer TEXT, title TEXT, titleaddon TEXT, instrument TEXT, style TEXT, avgtempo REAL, tempoclass TEXT, key TEXT, signature TEXT, chorus_count INTEGER, compid INTEGER, recordid INTEGER);
         CREATE TABLE melody (melid INTEGER, onset REAL, pitch REAL, duration REAL);
@@ -179,9 +178,17 @@ def _database(spark: SparkSession, sf: str) -> str:
         CREATE TABLE record_info (recordid INTEGER, artist TEXT, recordtitle TEXT, releasedate TEXT);
         INSERT INTO composition_info VALUES (3, 'C', 'AABA');
         INSERT INTO record_info VALUES (5, 'A', 'R', '1959-08-17');""")
-        rows = [(s.c_custkey, s.c_name, "T", str(s.c_custkey), "ts", "BOP", 90.0, "UP", "C", "3/4", 2, s.c_nationkey, s.c_nationkey) for s in solos]
-        c.executemany("INSERT INTO solo_info VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?, ?, ?, ?, ?)", rows)
-        c.executemany("INSERT INTO melody VALUES (?, ?, ?, ?)", [(n.m, n.onset_beat, float(n.pitch or 0), n.duration_beats) for n in notes])
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    fixed = {"instrument": "ts", "style": "BOP", "avgtempo": 90.0, "tempoclass": "UP", "key": "C", "signature": "3/4", "chorus_count": 2}
+    solos = spark.read.parquet(f"{sf}/customer.parquet").select(
+        key.alias("melid"), F.col("c_name").alias("performer"), F.lit("T").alias("title"), key.cast("string").alias("titleaddon"),
+        *[F.lit(v).alias(k) for k, v in fixed.items()], nation.alias("compid"), nation.alias("recordid"),
+    )
+    notes = events.notes(spark, sf).select(
+        F.substring("melid", 4, 20).cast("long").alias("melid"), F.col("onset_beat").alias("onset"), F.coalesce("pitch", F.lit(0)).cast("double").alias("pitch"), F.col("duration_beats").alias("duration")
+    )
+    sqlite.write_table(solos, path, "solo_info")
+    sqlite.write_table(notes, path, "melody")
     return path
 
 

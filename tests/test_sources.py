@@ -85,6 +85,43 @@ def test_sqlite_filters_and_errors(spark, database):
         sqlite.read_solo_database(spark, database + "x")
 
 
+def test_sqlite_write(spark, tmp_path):
+    path = str(tmp_path / "w.db")
+    with sqlite3.connect(path) as c:
+        c.execute('CREATE TABLE "a b" (k INTEGER, "x ""y" REAL, t TEXT)')
+    rows = [(i, None if i % 3 == 0 else i / 7, None if i % 5 == 0 else f"n'{i}") for i in range(25_000)]
+    df = spark.createDataFrame([*rows, (None, None, None)], 'k long, `x "y` double, t string').repartition(7)
+    assert [sqlite.write_table(df, path, "a b") for _ in range(2)] == [25_001, 25_001]  # once more: the same rows, not twice
+    read = lambda: sorted(map(tuple, sqlite.read_table(spark, path, "a b").collect()), key=str)
+    assert read() == sorted([*rows, (None, None, None)], key=str)
+    with pytest.raises(Exception, match="late"):  # what fails leaves the rows as they were
+        sqlite.write_table(df.withColumn("k", F.when(F.col("k") == 24_999, F.raise_error(F.lit("late")).cast("long")).otherwise(1)), path, "a b")
+    assert len(read()) == 25_001
+    assert sqlite.write_table(df.limit(0), path, "a b") == 0 and read() == []
+
+
+@pytest.mark.parametrize("name", ["src_sqlite_lookup"])
+def test_sqlite_queries_keep_rows_off_the_driver(spark, tmp_path, monkeypatch, name):
+    from motif_engine.plans import source_queries
+
+    spark.range(40).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "cast(id % 25 as int) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(4000).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 40 AS user_id", "if(id % 7 = 0, 'error', 'view') AS event_type", "1.0D AS value", "'{\"k\": 3}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    kind, sent = type(spark.range(0)), []
+    for way in ("collect", "toPandas", "toArrow", "toLocalIterator", "tail"):  # head, take and first collect, too
+
+        def counted(self, *args, f=getattr(kind, way), **kw):
+            rows = f(self, *args, **kw)
+            rows = list(rows) if way == "toLocalIterator" else rows
+            sent.append(len(rows))
+            return iter(rows) if way == "toLocalIterator" else rows
+
+        monkeypatch.setattr(kind, way, counted)
+    df = source_queries.QUERIES[name](spark, str(tmp_path))
+    assert max(sent, default=0) <= 1
+    monkeypatch.undo()
+    assert df.count() == {"src_sqlite_lookup": 1, "src_sqlite_scan": 7, "src_sqlite_solos": 40}[name]
+
+
 def test_result_pages(spark):
     cells = ["db", "m1", "1", "4", "3", "P <b>X</b>", "T", "1960", "tp", "1.5", "x", "", "", "0.9", "1"]
     row = lambda c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
