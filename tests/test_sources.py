@@ -100,7 +100,7 @@ def test_sqlite_write(spark, tmp_path):
     assert sqlite.write_table(df.limit(0), path, "a b") == 0 and read() == []
 
 
-@pytest.mark.parametrize("name", ["src_sqlite_lookup", "src_sqlite_scan"])
+@pytest.mark.parametrize("name", ["src_sqlite_lookup", "src_sqlite_scan", "src_sqlite_solos"])
 def test_sqlite_queries_keep_rows_off_the_driver(spark, tmp_path, monkeypatch, name):
     from motif_engine.plans import source_queries
 
